@@ -23,8 +23,11 @@ def monday(day: Column) -> Column:
 
 
 def parse_week_start(text: Column) -> Column:
-    """First date of ``YYYY-MM-DD/YYYY-MM-DD`` or a lone date; null where it is none."""
-    return F.try_to_date(F.substring_index(text, "/", 1), "yyyy-MM-dd")
+    """Date of the part before the first ``/``, read as an ISO date, moment, month or year; null where it is none.
+
+    This is the reference pipeline's reading; ``read_week`` knows more writings.
+    """
+    return F.try_to_timestamp(F.trim(F.substring_index(text, "/", 1))).cast("date")
 
 
 def read_week(text: Column) -> Column:
