@@ -7,7 +7,6 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from growthlens.llm.encode import count_tokens
@@ -123,7 +122,7 @@ def plan_mixture(sums: dict[str, dict[int, int]], targets: list[Target], shards:
     return Mixture(draws, report)
 
 
-REPORT = T.StructType.fromDDL("source string, target_share double, max_repeats int, tokens bigint, wanted_tokens double, drawn_tokens bigint, reached_share double, repeats double, short boolean")
+REPORT = "source string, target_share double, max_repeats int, tokens bigint, wanted_tokens double, drawn_tokens bigint, reached_share double, repeats double, short boolean"
 
 
 def block_sums(sizes: DataFrame) -> dict[str, dict[int, int]]:
