@@ -22,7 +22,7 @@ def interval_grid(
     max_hold: int | None = None,
     chunk_cells: int = 4096,
 ) -> DataFrame:
-    """A row for every grid cell between a key's first and last reading.
+    """A row for every grid cell from a key's first reading to the end of its last one's validity.
 
     A reading is a step function: it is *measured* for ``span`` seconds (one cell unless given) or
     until the key's next reading, and *held* from there to the next reading, at most ``max_hold``
@@ -57,7 +57,9 @@ def interval_grid(
     steps = within.join(firsts, ["k", "chunk"]).select("k", "t", "v", F.coalesce("next_t", "after_t").alias("next_t"))
 
     measured_end = F.least(F.col("t") + span, F.col("next_t"))  # least ignores null: the last reading has no next
-    hold_end = F.col("next_t") if max_hold is None else F.least(F.col("next_t"), F.col("t") + max(max_hold, span))
+    hold_end = F.col("next_t")  # nothing is held after the last reading
+    if max_hold is not None:
+        hold_end = F.when(F.col("next_t").isNotNull(), F.least(F.col("next_t"), F.col("t") + max(max_hold, span)))
     piece = lambda kind, start, end: F.struct(F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"))
     pieces = F.array(
         piece("measured", F.col("t"), measured_end),

@@ -79,7 +79,7 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[fl
     starts: dict[tuple[str, int], int] = {}
     for n in names:
         total = sum(found[n].values())
-        ranks[n] = [(int((total - 1) * p), min(int((total - 1) * p) + 1, total - 1), (total - 1) * p % 1) for p in shares] if total else []
+        ranks[n] = [(int((total - 1) * p), min(int((total - 1) * p) + 1, total - 1), (total - 1) * p - int((total - 1) * p)) for p in shares] if total else []
         before = 0
         for part in sorted(found[n]):
             if any(before <= k < before + found[n][part] for lo, hi, _ in ranks[n] for k in (lo, hi)):
@@ -98,7 +98,7 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[fl
     need = df.sparkSession.createDataFrame([(n, k) for n in names for lo, hi, _ in ranks[n] for k in {lo, hi}], "column string, rank bigint")
     hits = ordered.join(F.broadcast(need.distinct()), "column").where("rank between last - count + 1 and last").select("column", "rank", "value").collect()
     at = {(r["column"], r["rank"]): r["value"] for r in hits}
-    return {c: [at[n, lo] + (at[n, hi] - at[n, lo]) * f for lo, hi, f in ranks[n]] or [None] * len(shares) for c, n in zip(columns, names)}
+    return {c: [at[n, lo] * (1 - f) + at[n, hi] * f if f else at[n, lo] for lo, hi, f in ranks[n]] or [None] * len(shares) for c, n in zip(columns, names)}
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, spread: bool | None = None) -> DataFrame:

@@ -56,22 +56,25 @@ def outside(x: np.ndarray, centre: float, mad: float, strictness: float) -> np.n
 def phase_space_spikes(x: np.ndarray, strictness: float = 2.0, max_rounds: int = 10) -> tuple[np.ndarray, float, float]:
     """Flags of spikes, and median and MAD of the whole series.
 
-    Flagged points are taken out and the ellipsoid is fitted again until none is outside.
+    Flagged points are bridged in a straight line and the ellipsoid is fitted again to the others,
+    until none of them is outside.
     """
     centre = float(np.median(x))
     mad = float(np.median(np.abs(x - centre)))
     flags = np.zeros(len(x), dtype=bool)
-    kept, c, m = np.arange(len(x)), centre, mad
-    for _ in range(max_rounds):
-        out = outside(x[kept], c, m, strictness)
-        if not out.any():
-            break
-        flags[kept[out]] = True
-        kept = kept[~out]
-        if len(kept) < 3:
-            break
-        c = float(np.median(x[kept]))
-        m = float(np.median(np.abs(x[kept] - c)))
+    bridged, c, m = x, centre, mad
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(max_rounds):
+            out = outside(bridged, c, m, strictness) & ~flags
+            if not out.any():
+                break
+            flags |= out
+            kept = np.flatnonzero(~flags)
+            if len(kept) < 3:
+                break
+            bridged = np.interp(np.arange(len(x)), kept, x[kept])
+            c = float(np.median(x[kept]))
+            m = float(np.median(np.abs(x[kept] - c)))
     return flags, centre, mad
 
 

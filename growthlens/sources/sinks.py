@@ -21,7 +21,7 @@ def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) ->
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with header; ``one_file`` is for results of a known small size."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def few_rows(df: DataFrame, most: int = 10_000) -> list[tuple]:
