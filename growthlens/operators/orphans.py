@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from growthlens.session import stored
+
 #: Bits of a bitmap word.
 WORD = 64
 
@@ -57,13 +59,9 @@ def find_orphans(
     reference was seen; the survivors of this day-wise test are compared by their exact times.
 
     Scale: references are reduced to one row per (source, id, period) map-side before any shuffle, so
-    a hot key is a few rows. A bitmap word covers 64 keys, so a word's arrival days are at most 64.
+    a hot key is a few rows. These rows and the dictionary are stored, as both are used three times. A bitmap word covers 64 keys, so a word's arrival days are at most 64.
     """
-    refs = (
-        references.where(F.col("id").isNotNull())
-        .groupBy("src", "id", "period")
-        .agg(F.min("seen_at").alias("seen_at"))
-    )
+    refs = stored(references.where(F.col("id").isNotNull()).groupBy("src", "id", "period").agg(F.min("seen_at").alias("seen_at")))
     own = (
         parents.where(F.col("id").isNotNull())
         .groupBy("id")
@@ -72,7 +70,7 @@ def find_orphans(
     )
     gone = removed.where(F.col("id").isNotNull()).select("id", F.lit(None).cast("timestamp_ntz").alias("arrived_at"), F.lit(False).alias("present"), F.lit(True).alias("gone"))
     known = own.withColumn("arrived_at", F.col("arrived_at").cast("timestamp_ntz")).unionByName(gone)
-    codes = key_dictionary(refs.select("id").union(known.select("id")), ranges)
+    codes = stored(key_dictionary(refs.select("id").union(known.select("id")), ranges))
 
     place = ["range", "word"]
     or_of = lambda flag: F.coalesce(F.expr(f"bit_or(case when {flag} then shiftleft(1L, bit) end)"), F.lit(0).cast("long"))

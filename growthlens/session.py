@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,12 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def stored(df: DataFrame, partitions_by: tuple[str, ...] = ()) -> DataFrame:
+    """The frame, written once as a table in the shared folder and read from there.
+
+    Cuts the lineage for frames that are used several times: a lost executor costs a read, not a
+    computation. The files are deleted when the driver's process ends in order.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/growthlens-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions_by).parquet(path)
+    atexit.register(_forget, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session may have ended before
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that do not share the driver's Python path."""
     if spark.sparkContext.master.startswith("local"):
         return
-    import shutil
-
     root = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "growthlens"), "zip", os.path.dirname(root), "growthlens")
     spark.sparkContext.addPyFile(archive)
