@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Stand-ins for "no time seen" in the accumulators.
 NEVER, ALWAYS = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
+LEAST_BLOCKS, BLOCK_BYTES = 256, 32 << 20
+
 
 class Accumulators:
     """Counts, least and greatest moment of each key of one dictionary, in dense arrays."""
@@ -49,7 +51,7 @@ class Accumulators:
         self.high[at] = np.maximum(self.high[at], most)
 
 
-def key_totals(df: DataFrame, key_fields: list[str], moment: str | None = None, blocks: int = 1024, most_keys: int = 1_000_000) -> DataFrame:
+def key_totals(df: DataFrame, key_fields: list[str], moment: str | None = None, blocks: int | None = None, most_keys: int = 1_000_000) -> DataFrame:
     """Rows, first and last moment of every value of each of several key columns.
 
     Returns key_field (the column's name), key_value (the value as a string; null is a value),
@@ -61,8 +63,12 @@ def key_totals(df: DataFrame, key_fields: list[str], moment: str | None = None,
     arrays are cut into blocks by the key's hash and shuffled as such; per block they are summed
     into one dense array. A split that meets over ``most_keys`` keys hands over its arrays and starts anew.
 
-    Scale: what is shuffled are a split's distinct keys, at most; nothing is broadcast or collected.
+    Scale: what is shuffled are a split's distinct keys, at most; nothing is broadcast or collected. A
+    block's arrays are summed as they stream in, so a task holds the block's distinct keys only. There
+    is a block for every BLOCK_BYTES of input, as the optimizer estimates it, and at least LEAST_BLOCKS.
     """
+    if blocks is None:
+        blocks = max(LEAST_BLOCKS, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BLOCK_BYTES)
     rows = df.select(
         *(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(key_fields)),
         (F.unix_micros(F.col(moment).cast("timestamp")) if moment else F.lit(None).cast("long")).alias("at"),
@@ -94,13 +100,14 @@ def key_totals(df: DataFrame, key_fields: list[str], moment: str | None = None,
         for i, acc in enumerate(own):
             yield from handed(i, acc)
 
-    def total(table: pa.Table) -> pa.Table:
-        acc = Accumulators()
-        flat = lambda c: table.column(c).combine_chunks().flatten()
-        acc.add(flat("keys"), *(flat(c).to_numpy() for c in ("n", "low", "high")))
+    def total(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc, field = Accumulators(), 0
+        for part in parts:
+            field = part.column("field")[0].as_py()
+            acc.add(part.column("keys").flatten(), *(part.column(c).flatten().to_numpy() for c in ("n", "low", "high")))
         known = lambda a, none: pa.array(a, mask=a == none)
-        size = len(acc.keys)
-        return pa.table({"field": pa.array(np.full(size, table.column("field")[0].as_py(), np.int32)), "key_value": acc.keys, "n_rows": acc.n, "low": known(acc.low, NEVER), "high": known(acc.high, ALWAYS)})
+        fields = pa.array(np.full(len(acc.keys), field, np.int32))
+        yield pa.RecordBatch.from_arrays([fields, acc.keys, pa.array(acc.n), known(acc.low, NEVER), known(acc.high, ALWAYS)], names=["field", "key_value", "n_rows", "low", "high"])
 
     totals = rows.mapInArrow(count, schema).groupBy("field", "block").applyInArrow(total, "field int, key_value string, n_rows bigint, low bigint, high bigint")
     name = F.element_at(F.array(*map(F.lit, key_fields)), F.col("field") + 1)
