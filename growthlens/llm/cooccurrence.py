@@ -7,8 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from growthlens.operators.joins import salted_join
+from growthlens.session import stored
+
 
 def log_likelihood(k: Column, a: Column, b: Column, n: Column) -> Column:
     """Dunning's ratio G2 of a 2 x 2 table: k both, a and b of each, n baskets."""
@@ -62,12 +66,6 @@ def stripes_of(
         yield pa.RecordBatch.from_arrays([pa.array(names[x[cuts]]), pa.array((stripe[cuts] & 15).astype(np.int32)), *lists], names=["x", "segment", "y", "k", "least"])
 
 
-def salted(big: DataFrame, small: DataFrame, key: str, by: str, salts: int, how: str) -> DataFrame:
-    """Join in which each of a hot key's rows goes to one of ``salts`` tasks; the small side is copied to each."""
-    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(copies, [key, "salt"], how).drop("salt")
-
-
 def together(
     df: DataFrame,
     basket: str,
@@ -77,6 +75,7 @@ def together(
     min_lift: float = 0.0,
     max_basket: int = 512,
     salts: int = 16,
+    segments: int = 64,
 ) -> DataFrame:
     """Pairs of items with the number of baskets that hold both, and how far that exceeds chance.
 
@@ -86,32 +85,36 @@ def together(
     give no rows; other columns are ignored, whatever their names. Items must be whole numbers.
 
     Method: an item's stripe, the array of its neighbours with counts, is summed per input batch, cut
-    by neighbours, shuffled and merged. Baskets of over ``max_basket`` items have no stripes; of them an
-    item keeps the set of its large baskets, and a pair's sets are intersected. Exact ways keep the rest
-    small: a pair's sizes differ at most by the factor 1 / ``min_jaccard``; a pair needs
-    r = max(min_count, min_jaccard (a + b) / (1 + min_jaccard)) common baskets, so its stripes must hold r
-    less the large baskets of the one with fewer. A pair without common small basket has r common large
-    ones, so the items that each have so many are paired through the large baskets as well: only
-    by the first h - r + 1 of an item's h large baskets, small ones first, of which a pair must share one.
-
-    Scale: rows are made distinct by (basket, item), which spreads hot baskets and items; sizes are joined
+    by neighbours, shuffled and merged. Baskets of over ``max_basket`` items have no stripes; how many of
+    them a pair shares is found from the items' lists of large baskets. Exact ways keep the rest small: a
+    pair's sizes differ at most by the factor 1 / ``min_jaccard``; a pair needs r = max(min_count,
+    min_jaccard (a + b) / (1 + min_jaccard)) common baskets, so its stripes must hold r less the large
+    baskets of the one that has fewer. A pair without common small basket has r common large ones, so
+    items that have so many are paired through large baskets as well: only by the first h - r + 1 of an
+    item's h large baskets, smaller ones first, of which a pair must share one.
+
+    Scale: the distinct rows are stored once; their making spreads hot baskets and items. Sizes are joined
     with salted copies of their table. Baskets that become arrays are bounded by ``max_basket``; large ones
-    are paired in blocks of items, never in one task. Nothing is collected or broadcast by size unseen.
+    are paired in blocks of items, never in one task, and an item's list of them is cut into ``segments``.
+    Nothing is collected or broadcast by size unseen.
     """
     if not 0 <= min_jaccard <= 1 or min_count < 1:
         raise ValueError("min_jaccard must be from 0 to 1 and min_count at least 1")
     ratio = 1 / min_jaccard if min_jaccard > 0 else float("inf")
     share = min_jaccard / (1 + min_jaccard)
-    rows = df.select(F.col(basket).alias("u"), F.col(item).cast("long").alias("i")).where("u is not null and i is not null").distinct()
-    n = rows.select("u").distinct().agg(F.count("*").alias("n")).scalar()
-    large = rows.groupBy("u").agg(F.count("*").alias("u_size")).where(F.col("u_size") > max_basket)
-    items = rows.groupBy("i").agg(F.count("*").alias("a")).where(F.col("a") >= min_count)
-
-    flagged = salted(rows, large, "u", "i", salts, "left")
-    sets = (
-        flagged.where("u_size is not null").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("u_size", "u"))).alias("larges"))
-    )
-    known = items.join(sets, "i", "left").withColumn("h", F.coalesce(F.size("larges"), F.lit(0)))
+    rows = stored(df.select(F.col(basket).alias("u"), F.col(item).cast("long").alias("i")).where("u is not null and i is not null").distinct())
+    sizes = rows.groupBy("u").agg(F.count("*").alias("u_size"))
+    n = sizes.agg(F.count("*").alias("n")).scalar()
+    large = sizes.where(F.col("u_size") > max_basket)
+    flagged = salted_join(rows, large, "u", ["i"], "left", salts)
+    # an item's large baskets: how many of each size, and which, in segments
+    in_large = flagged.where("u_size is not null")
+    spectrum = in_large.groupBy("i", "u_size").agg(F.count("*").alias("c"))
+    known = (
+        rows.groupBy("i").agg(F.count("*").alias("a")).where(F.col("a") >= min_count)
+        .join(spectrum.groupBy("i").agg(F.sum("c").alias("h")), "i", "left")
+        .withColumn("h", F.coalesce("h", F.lit(0)).cast("int"))
+    )
 
     def need(total: np.ndarray) -> np.ndarray:
         return np.maximum(min_count, np.ceil(total * share - 1e-9)).astype(np.int64)
@@ -126,7 +129,7 @@ def together(
             yield from stripes_of(flat["i"], flat["a"].astype(np.int64), flat["h"].astype(np.int64), flat.get("side"), offsets - offsets[0], ratio, need, 16)
 
     # small baskets: stripes, merged by item and segment
-    light = salted(flagged.where("u_size is null").select("u", "i"), known.select("i", "a", "h"), "i", "u", salts, "inner")
+    light = salted_join(flagged.where("u_size is null").select("u", "i"), known, "i", ["u"], "inner", salts)
     baskets = light.groupBy("u").agg(F.collect_list("i").alias("i"), F.collect_list("a").alias("a"), F.collect_list("h").alias("h")).where(F.size("i") > 1)
     merged = (
         baskets.select("i", "a", "h")
@@ -138,17 +141,22 @@ def together(
         .where("k >= least")
         .select("x", "y", "k")
     )
-    # large baskets: their items with so many that a pair may have no small one, in blocks of items
+    # large baskets: of items with so many that a pair may have no small one in common, those up to the size at
+    # which the first h - r + 1 are reached, in blocks of items
     own_need = F.greatest(F.lit(min_count), F.ceil(F.col("a") * min_jaccard - 1e-9)).cast("int")
-    rich = (
-        known.where(F.col("h") >= own_need)
-        .select("i", "a", "h", F.explode(F.slice("larges", 1, F.col("h") - own_need + 1)).alias("l"))
-        .select("i", "a", "h", F.col("l.u").alias("u"))
+    up_to = W.partitionBy("i").orderBy("u_size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    enough = known.where(F.col("h") >= own_need).withColumn("first", F.col("h") - own_need + 1)
+    levels = (
+        spectrum.join(enough, "i")
+        .withColumn("before", F.sum("c").over(up_to) - F.col("c"))
+        .where(F.col("before") < F.col("first"))
+        .select("i", "a", "h", "u_size")
     )
+    rich = in_large.join(levels, ["i", "u_size"]).select("i", "a", "h", "u")
     blocks = rich.groupBy("u").agg(F.ceil(F.count("*") / max_basket).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")
     blocked = (
-        salted(rich, blocks, "u", "i", salts, "inner")
+        salted_join(rich, blocks, "u", ["i"], "inner", salts)
         .withColumn("own", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("u", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "i", "a", "h", "own")
@@ -165,11 +173,21 @@ def together(
         .select("x", "y", F.lit(0).cast("long").alias("k"))
     )
     candidates = merged.unionByName(through).groupBy("x", "y").agg(F.max("k").alias("k"))
-    side_of = lambda name, size: known.select(F.col("i").alias(name), F.col("a").alias(size), F.coalesce(F.col("larges.u"), F.array().cast(f"array<{rows.schema['u'].dataType.simpleString()}>")).alias(f"larges_{size}"))
+    # the common large baskets of a pair, segment by segment
+    sets = in_large.groupBy("i", F.pmod(F.xxhash64("u"), F.lit(segments)).cast("int").alias("part")).agg(F.collect_list("u").alias("us"))
+    of = lambda name, out: sets.select(F.col("i").alias(name), "part", F.col("us").alias(out))
+    in_both = (
+        candidates.join(of("x", "us_x"), "x")
+        .join(of("y", "us_y"), ["y", "part"])
+        .groupBy("x", "y")
+        .agg(F.sum(F.size(F.array_intersect("us_x", "us_y"))).alias("k_large"))
+    )
+    size_of = lambda name, size: known.select(F.col("i").alias(name), F.col("a").alias(size))
     counted = (
-        candidates.join(side_of("x", "a"), "x")
-        .join(side_of("y", "b"), "y")
-        .select(F.col("x").alias("item_a"), F.col("y").alias("item_b"), (F.col("k") + F.size(F.array_intersect("larges_a", "larges_b"))).alias("k"), "a", "b", n.alias("n"))
+        candidates.join(in_both, ["x", "y"], "left")
+        .join(size_of("x", "a"), "x")
+        .join(size_of("y", "b"), "y")
+        .select(F.col("x").alias("item_a"), F.col("y").alias("item_b"), (F.col("k") + F.coalesce("k_large", F.lit(0))).alias("k"), "a", "b", n.alias("n"))
     )
     union = F.col("a") + F.col("b") - F.col("k")
     return (
