@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from growthlens.llm.encode import count_tokens
-from growthlens.session import shared_dir
+from growthlens.session import stored
 
 #: Sources that a mixture may have: its targets are held on the driver.
 MOST_SOURCES = 10_000
+#: Input for which there is a shard; shards and blocks of a source, least and most.
+SHARD_BYTES = 64 << 20
+SHARDS, BLOCKS = (16, 65_536), (1_024, 65_536)
 
 
 def plain_source(name: Column) -> Column:
@@ -28,6 +31,17 @@ class Target:
     repeats: int
 
 
+def grain(docs: DataFrame, sources: int, blocks: int | None, shards: int | None) -> tuple[int, int]:
+    """Blocks per source and shards: those given, else by the input's size as the optimizer estimates it.
+
+    Blocks are some times as many as shards, so that a shard gets a fair number of them. Both are
+    bounded, and with them what the driver holds.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = shards or min(max(size // SHARD_BYTES, SHARDS[0]), SHARDS[1])
+    return blocks or min(max(16 * shards // max(sources, 1), BLOCKS[0]), BLOCKS[1]), shards
+
+
 def read_targets(targets: DataFrame) -> list[Target]:
     """The targets, from columns source, target_share and max_repeats, sorted by source.
 
@@ -133,30 +147,31 @@ def block_sums(sizes: DataFrame) -> dict[str, dict[int, int]]:
     return found
 
 
-def mix_report(docs: DataFrame, targets: DataFrame, key: str, text: str, blocks: int = 1024, shards: int = 64, seed: int = 0, path: str | None = None) -> DataFrame:
+def mix_report(docs: DataFrame, targets: DataFrame, key: str, text: str, blocks: int | None = None, shards: int | None = None, seed: int = 0, path: str | None = None) -> DataFrame:
     """One row per target source: its tokens, what was wanted and drawn, the share reached, whether it is short."""
     wanted = read_targets(targets)
+    blocks, shards = grain(docs, len(wanted), blocks, shards)
     plan = plan_mixture(block_sums(sized(docs, key, text, wanted, blocks, seed, path)), wanted, shards, seed)
     return docs.sparkSession.createDataFrame(plan.report, REPORT)
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, key: str, text: str, blocks: int = 1024, shards: int = 64, seed: int = 0, path: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, key: str, text: str, blocks: int | None = None, shards: int | None = None, seed: int = 0, path: str | None = None) -> DataFrame:
     """The mixture: a row for each time a document is drawn.
 
     Returns the key (under its name), source, copy (from 0), shard, pos (from 1, the random order in
     the shard) and n_tokens. No document is drawn more than max_repeats times; documents of other
-    sources and of no source are not drawn. Shares come within half a block (1/``blocks`` of a source)
-    of their targets where the supply allows. Equal seeds give equal mixtures. Without documents or
+    sources and of no source are not drawn. Where the supply allows, a source's tokens fall short of
+    its quota by less than its smallest block that is not drawn. Equal seeds give equal mixtures. Without documents or
     targets there are no rows. Null and empty texts have no tokens, yet are drawn with their block.
 
-    Scale: texts are encoded once; their sizes are checkpointed for the second use. The driver holds
-    sources x blocks sums and the draws (times max_repeats), bounded by parameters, never documents.
+    Scale: texts are encoded once; their sizes are stored for the second use. The driver holds sources x
+    blocks sums and the draws (times max_repeats), bounded by parameters (see ``grain``), never documents.
     A source with a third of all rows is spread over its blocks. Each shard is ordered by itself.
     """
     spark = docs.sparkSession
-    shared_dir(spark)
     wanted = read_targets(targets)
-    sizes = sized(docs, key, text, wanted, blocks, seed, path).checkpoint()
+    blocks, shards = grain(docs, len(wanted), blocks, shards)
+    sizes = stored(sized(docs, key, text, wanted, blocks, seed, path))
     plan = plan_mixture(block_sums(sizes), wanted, shards, seed)
     draws = spark.createDataFrame(plan.draws, "source string, block int, copy int, shard int")
     place = W.partitionBy("shard").orderBy(F.xxhash64("key", "copy", F.lit(seed)), "key", "copy")
