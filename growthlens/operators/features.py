@@ -71,14 +71,18 @@ def weekly_features(df: DataFrame, key: str = ID) -> DataFrame:
     return chunked.withColumns(features).where(~F.col("__halo")).drop("__halo", "__year")
 
 
+def key_counts(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Rows per key, aggregated map-side; null keys left out."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(out))
+
+
 def interaction_counts(interactions: DataFrame, user: str = "user_id", repo: str = ID) -> DataFrame:
     """Interactions with user_activity_count and repo_popularity_count (0 for a null key).
 
-    Counts are aggregated map-side and joined back salted, so busy users and popular repositories spread.
+    The counts are joined back salted, so busy users and popular repositories spread.
     """
-    count = lambda k, out: interactions.where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias(out))
-    joined = salted_join(interactions, count(user, "user_activity_count"), user, [repo])
-    joined = salted_join(joined, count(repo, "repo_popularity_count"), repo, [user])
+    joined = salted_join(interactions, key_counts(interactions, user, "user_activity_count"), user, [repo])
+    joined = salted_join(joined, key_counts(interactions, repo, "repo_popularity_count"), repo, [user])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select(*interactions.columns, zero("user_activity_count"), zero("repo_popularity_count"))
 
@@ -86,12 +90,16 @@ def interaction_counts(interactions: DataFrame, user: str = "user_id", repo: str
 def recommendation_features(interactions: DataFrame, repositories: DataFrame) -> DataFrame:
     """Interactions with both counts and the repository's language, topic count, stars and forks; missing ones Unknown or 0.
 
-    Repositories that occur several times multiply their interactions, as in a relational join.
+    Repositories that occur several times multiply their interactions, as in a relational join. The
+    repository's count and columns are put together first, so the interactions move once per key.
     """
     side = repositories.select(ID, "language", "topic_count", "stars_count", "forks_count")
-    joined = salted_join(interaction_counts(interactions), side, ID, ["user_id"])
-    out = [c for c in (*interactions.columns, "user_activity_count", "repo_popularity_count")]
-    return joined.select(*out, F.coalesce("language", F.lit("Unknown")).alias("language"), *(number_or(F.col(c), 0).alias(c) for c in ("topic_count", "stars_count", "forks_count")))
+    by_repo = key_counts(interactions, ID, "repo_popularity_count").join(side, ID, "left")
+    joined = salted_join(interactions, key_counts(interactions, "user_id", "user_activity_count"), "user_id", [ID])
+    joined = salted_join(joined, by_repo, ID, ["user_id"])
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("user_activity_count", "repo_popularity_count")]
+    numbers = [number_or(F.col(c), 0).alias(c) for c in ("topic_count", "stars_count", "forks_count")]
+    return joined.select(*interactions.columns, *counts, F.coalesce("language", F.lit("Unknown")).alias("language"), *numbers)
 
 
 def frequent_values(df: DataFrame, column: str, k: int) -> list[str]:

@@ -21,15 +21,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True) -> DataFrame:
     """A delimited file with header, quoted line breaks and doubled quotes.
 
     All columns are read as text, texts that stand for no value become null, then columns get the
     types of ``schema`` by name, row by row: what cannot be read is null. Flags become 0 or 1, as
     they are after a hop through a database without booleans. Columns that the schema does not
     name stay text; columns missing in the file are not made up. Without schema all stay text.
+
+    Values with line breaks make a file one task: keep files small (many files are read in parallel), or
+    pass ``multi_line=False`` for data without line breaks in values, whose files are split.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
     return raw.select(*(_typed(drop_na_tokens(F.col(f"`{c}`")), types.get(c)).alias(c) for c in raw.columns))
 

@@ -6,7 +6,7 @@ import decimal
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def replace_table(df: DataFrame, name: str, bucket_by: tuple[str, ...] = (), buckets: int = 64) -> None:
@@ -52,6 +52,14 @@ def fixed_width(df: DataFrame) -> str:
 
 
 def write_text(text: str, path: str) -> None:
+    """A text file, locally or, for paths with a scheme, on any file system that Spark writes."""
+    if "://" in path:
+        spark = SparkSession.active()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         f.write(text)

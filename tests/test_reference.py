@@ -14,7 +14,7 @@ from growthlens.plans.figures import draw, figures
 from growthlens.plans.pipeline import Pipeline, build_features
 from growthlens.sources.contracts import TABLES, key_violations
 from growthlens.sources.readers import import_tables, read_csv, read_processed, read_tables, run_sql
-from growthlens.sources.sinks import few_rows, fixed_width, replace_table, write_csv, write_parquet
+from growthlens.sources.sinks import few_rows, fixed_width, replace_table, write_csv, write_parquet, write_text
 from growthlens.streaming.counts import windowed_counts
 
 SMALL = "/root/testdata/sf0.001"
@@ -88,6 +88,12 @@ def test_processed_hop_and_sinks(spark, tmp_path):
     assert "Empty" in fixed_width(df.limit(0))
 
 
+def test_write_text(spark, tmp_path):
+    for path in (str(tmp_path / "a/b.txt"), f"file://{tmp_path}/c.txt"):
+        write_text("é\n", path)
+    assert (tmp_path / "a/b.txt").read_bytes() == (tmp_path / "c.txt").read_bytes() == "é\n".encode()
+
+
 def test_replace_table(spark):
     for n in (3, 2):
         replace_table(spark.range(n).withColumnRenamed("id", "k"), "growthlens_test_table", ("k",), 2)
