@@ -130,7 +130,8 @@ def together(
 
     # small baskets: stripes, merged by item and segment
     light = salted_join(flagged.where("u_size is null").select("u", "i"), known, "i", ["u"], "inner", salts)
-    baskets = light.groupBy("u").agg(F.collect_list("i").alias("i"), F.collect_list("a").alias("a"), F.collect_list("h").alias("h")).where(F.size("i") > 1)
+    # rows move as they are: lists of parts of baskets would be larger
+    baskets = light.repartition("u").groupBy("u").agg(F.collect_list("i").alias("i"), F.collect_list("a").alias("a"), F.collect_list("h").alias("h")).where(F.size("i") > 1)
     merged = (
         baskets.select("i", "a", "h")
         .mapInArrow(stripes, schema)
