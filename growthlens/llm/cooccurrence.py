@@ -93,7 +93,7 @@ def together(
     items that have so many are paired through large baskets as well: only by the first h - r + 1 of an
     item's h large baskets, smaller ones first, of which a pair must share one.
 
-    Scale: the distinct rows are stored once; their making spreads hot baskets and items. Sizes are joined
+    Scale: the distinct rows, and those of large baskets, are stored once; their making spreads hot baskets and items. Sizes are joined
     with salted copies of their table. Baskets that become arrays are bounded by ``max_basket``; large ones
     are paired in blocks of items, never in one task, and an item's list of them is cut into ``segments``.
     Nothing is collected or broadcast by size unseen.
@@ -106,9 +106,8 @@ def together(
     sizes = rows.groupBy("u").agg(F.count("*").alias("u_size"))
     n = sizes.agg(F.count("*").alias("n")).scalar()
     large = sizes.where(F.col("u_size") > max_basket)
-    flagged = salted_join(rows, large, "u", ["i"], "left", salts)
-    # an item's large baskets: how many of each size, and which, in segments
-    in_large = flagged.where("u_size is not null")
+    in_large = stored(salted_join(rows, large, "u", ["i"], "inner", salts))
+    # how many large baskets of each size an item has
     spectrum = in_large.groupBy("i", "u_size").agg(F.count("*").alias("c"))
     known = (
         rows.groupBy("i").agg(F.count("*").alias("a")).where(F.col("a") >= min_count)
@@ -129,7 +128,7 @@ def together(
             yield from stripes_of(flat["i"], flat["a"].astype(np.int64), flat["h"].astype(np.int64), flat.get("side"), offsets - offsets[0], ratio, need, 16)
 
     # small baskets: stripes, merged by item and segment
-    light = salted_join(flagged.where("u_size is null").select("u", "i"), known, "i", ["u"], "inner", salts)
+    light = salted_join(salted_join(rows, large, "u", ["i"], "left_anti", salts), known, "i", ["u"], "inner", salts)
     # rows move as they are: lists of parts of baskets would be larger
     baskets = light.repartition("u").groupBy("u").agg(F.collect_list("i").alias("i"), F.collect_list("a").alias("a"), F.collect_list("h").alias("h")).where(F.size("i") > 1)
     merged = (
