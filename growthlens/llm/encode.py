@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from itertools import batched
@@ -14,8 +15,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How byte-level vocabularies of this family cut text into words before merging (fixed pattern).
-WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How byte-level vocabularies of this family cut text into words before merging (fixed pattern; the commonest
+#: alternative comes first, as no text fits both it and a later one), and the same for texts in ASCII.
+WORDS = r""" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ASCII_WORDS = r""" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 #: Characters of text whose words are held at a time, and words whose ids are remembered.
 SLICE, MEMORY = 1_000_000, 400_000
 
@@ -54,7 +57,7 @@ class PrefixEncoder:
         model = json.loads(file)["model"]
         chars = byte_of_char()
         raw = {name: bytes(map(chars.__getitem__, name)) for name in model["vocab"] if all(c in chars for c in name)}
-        self.pattern = regex.compile(WORDS)
+        self.pattern, self.ascii = regex.compile(WORDS), re.compile(ASCII_WORDS, re.ASCII)
         self.ids: dict[bytes, int] = {}
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -71,7 +74,7 @@ class PrefixEncoder:
         self.ids = {b: i for i, b in reachable if self.whole(i)}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         self.tails = {b[i:] for b in self.ids for i in range(len(b))}
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, bytes] = {}  # a word's ids as 32-bit integers
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that touch one side of a token while it is merged, each with the step that ends it."""
@@ -139,7 +142,8 @@ class PrefixEncoder:
             while at:
                 out.append(last[at])
                 at -= size[at]
-            self.memory[word] = tuple(reversed(out))
+            out.reverse()
+            self.memory[word] = array("i", out).tobytes()
             before = raw
 
     def slices(self, texts: list[str | None]) -> Iterator[list[tuple[list[str], bool]]]:
@@ -150,14 +154,15 @@ class PrefixEncoder:
         held: list[tuple[list[str], bool]] = []
         volume = 0
         for text in texts:
+            pattern = self.ascii if text and text.isascii() else self.pattern
             if text and len(text) > SLICE:
-                for part in batched((m.group() for m in self.pattern.finditer(text)), SLICE // 4):
+                for part in batched((m.group() for m in pattern.finditer(text)), SLICE // 4):
                     held.append((list(part), False))
                     yield self.known(held)
                     held, volume = [], 0
                 held.append(([], True))
                 continue
-            held.append((self.pattern.findall(text) if text else [], True))
+            held.append((pattern.findall(text) if text else [], True))
             volume += len(text) if text else 0
             if volume > SLICE:
                 yield self.known(held)
@@ -174,27 +179,28 @@ class PrefixEncoder:
         self.learn([w for w in new if w not in self.memory])
         return held
 
-    def encode(self, texts: list[str | None]) -> tuple[array, array]:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the offsets at which each text's ids begin and end."""
-        ids, offsets = array("i"), array("i", [0])
+        parts, ends, so_far = [], [0], 0
         for held in self.slices(texts):
             get = self.memory.__getitem__
-            for words, ends in held:
-                for part in map(get, words):
-                    ids.extend(part)
-                if ends:
-                    offsets.append(len(ids))
-        return ids, offsets
+            for words, done in held:
+                part = b"".join(map(get, words))
+                parts.append(part)
+                so_far += len(part)
+                if done:
+                    ends.append(so_far)
+        return np.frombuffer(b"".join(parts), np.int32), (np.array(ends, np.int64) // 4).astype(np.int32)
 
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of ids of each text."""
         out, so_far = [], 0
         for held in self.slices(texts):
             get = self.memory.__getitem__
-            for words, ends in held:
+            for words, done in held:
                 so_far += sum(map(len, map(get, words)))
-                if ends:
-                    out.append(so_far)
+                if done:
+                    out.append(so_far // 4)
                     so_far = 0
         return out
 
@@ -247,7 +253,7 @@ def encode_texts(df: DataFrame, keep: list[str], text: str, path: str | None = N
         own = encoder(vocabulary)
         for batch in batches:
             ids, offsets = own.encode(batch.column("__text").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(ids, np.int32)) if len(ids) else pa.array([], pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, lists], names=[*keep, out])
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{named(df, keep)}, `{out}` array<int>")

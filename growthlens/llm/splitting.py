@@ -111,10 +111,9 @@ def split_oversized(
             rows, letters, offsets = [], [], []
             for lo in range(0, len(texts), 64):  # few texts' ids at a time
                 ids, at = own.encode(texts[lo : lo + 64])
-                flat = np.frombuffer(ids, np.int32)
                 for i in range(len(at) - 1):
                     if at[i + 1] - at[i] > limit:
-                        kinds, chars = places(texts[lo + i], size_of[flat[at[i] : at[i + 1]]])
+                        kinds, chars = places(texts[lo + i], size_of[ids[at[i] : at[i + 1]]])
                         rows.append(lo + i)
                         letters.append(kinds)
                         offsets.append(chars.astype(np.int32))
