@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from growthlens.session import ship
+
 #: Stand-ins for "no time seen" in the accumulators.
 NEVER, ALWAYS = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
@@ -109,6 +111,7 @@ def key_totals(df: DataFrame, key_fields: list[str], moment: str | None = None,
         fields = pa.array(np.full(len(acc.keys), field, np.int32))
         yield pa.RecordBatch.from_arrays([fields, acc.keys, pa.array(acc.n), known(acc.low, NEVER), known(acc.high, ALWAYS)], names=["field", "key_value", "n_rows", "low", "high"])
 
+    ship(df.sparkSession)
     totals = rows.mapInArrow(count, schema).groupBy("field", "block").applyInArrow(total, "field int, key_value string, n_rows bigint, low bigint, high bigint")
     name = F.element_at(F.array(*map(F.lit, key_fields)), F.col("field") + 1)
     return totals.select(name.alias("key_field"), "key_value", "n_rows", F.timestamp_micros("low").alias("first_at"), F.timestamp_micros("high").alias("last_at"))

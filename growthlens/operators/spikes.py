@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from growthlens.session import ship
+
 #: Times the median absolute deviation that a normal distribution's standard deviation is (fixed value).
 MAD_TO_SIGMA = 1.4826
 #: Largest half-width of an ellipsoid, in robust standard deviations.
@@ -164,6 +166,7 @@ def implausible(
                 names=[*batch.schema.names, "spike", "stuck", "n_points", "median", "mad"],
             )
 
+    ship(long.sparkSession)
     judged = series.mapInArrow(judge, schema)
     each = F.explode(F.arrays_zip("period", "value", "impossible", "spike", "stuck")).alias("e")
     return judged.select("field", "key", "n_points", "median", "mad", each).select(

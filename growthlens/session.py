@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,10 +70,20 @@ def _forget(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not share the driver's Python path."""
-    if spark.sparkContext.master.startswith("local"):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "growthlens"), "zip", os.path.dirname(root), "growthlens")
-    spark.sparkContext.addPyFile(archive)
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, once per context, wherever they run.
+
+    Operators with Python parts call it: the driver may have found the package by a path of its own.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_growthlens_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="growthlens-"), "growthlens_package.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, files in os.walk(root):
+                for name in (f for f in files if f.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("growthlens", os.path.relpath(path, root)))
+        context.addPyFile(archive)
+        context._growthlens_shipped = True
+    return spark

@@ -1,7 +1,10 @@
 """Operators of the general problems: nulls, repeats, ties, empty tables, clashing columns, hot keys."""
 
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -250,3 +253,25 @@ def test_halo_is_the_rows_before(spark):
         for c in {c for j, _, c in data if j == k}:
             first = min(t for t in own if t // 10 == c)
             assert sorted(r["t"] for r in got if r["k"] == k and r["c"] == c and r["__halo"]) == own[max(0, own.index(first) - 3) : own.index(first)]
+
+
+# workers ---------------------------------------------------------------------------------------
+
+
+def test_workers_find_the_package(tmp_path):
+    """The driver may import the package by a path that its workers do not have."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        f"""import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from growthlens.operators.heavy_keys import key_totals
+from growthlens.operators.packed import split_packed
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.createDataFrame([(1, "a|b"), (1, "c")], "i int, t string")
+print("rows", key_totals(df, ["i"]).count(), split_packed(df, ["i"], "t", ["a"]).count())
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1 3" in done.stdout, done.stderr[-2000:]
