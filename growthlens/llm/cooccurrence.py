@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from growthlens.operators.joins import salted_join
-from growthlens.session import stored
+from growthlens.session import ship, stored
 
 
 def log_likelihood(k: Column, a: Column, b: Column, n: Column) -> Column:
@@ -115,6 +115,8 @@ def together(
         .withColumn("h", F.coalesce("h", F.lit(0)).cast("int"))
     )
 
+    ship(df.sparkSession)
+
     def need(total: np.ndarray) -> np.ndarray:
         return np.maximum(min_count, np.ceil(total * share - 1e-9)).astype(np.int64)
 

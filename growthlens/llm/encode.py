@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from growthlens.session import ship
+
 #: How byte-level vocabularies of this family cut text into words before merging (fixed pattern; the commonest
 #: alternative comes first, as no text fits both it and a later one), and the same for texts in ASCII.
 WORDS = r""" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -225,7 +227,7 @@ class Vocabulary:
         if len(data) > most_mb << 20:
             raise ValueError(f"the vocabulary file has over {most_mb} MB")
         self.id = hash(data)
-        self._data = df.sparkSession.sparkContext.broadcast(data)
+        self._data = ship(df.sparkSession).sparkContext.broadcast(data)
 
     @property
     def value(self) -> bytes:
