@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlens.llm.encode import Vocabulary, encoder, named
@@ -37,20 +37,21 @@ def piece_pattern(limit: int, overlap: int) -> str:
     return f"^(?:{up_to(limit)})|(?:{up_to(limit - overlap - CHAR_TOKENS)})"
 
 
-def places(text: str, sizes: np.ndarray) -> tuple[str, np.ndarray]:
-    """The letter of the place after each token, and the character offset of that place.
+def places(text: str, sizes: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The letter of the place after each token; and for place 0 (the start) and those after each token
+    the last place up to it that is not within a character, its offset in characters and that in bytes.
 
-    ``sizes`` are the tokens' lengths in bytes. A place within a character has the offset of the
-    character's start.
+    ``sizes`` are the tokens' lengths in bytes.
     """
     raw = np.frombuffer(text.encode(), np.uint8)
     starts = (raw & 0xC0) != 0x80
-    chars_before = np.r_[0, np.cumsum(starts)]
-    ends = np.cumsum(sizes)
+    ends = np.r_[0, np.cumsum(sizes)]
     within = np.zeros(len(ends), dtype=bool)
     inner = ends < len(raw)
     within[inner] = ~starts[ends[inner]]
-    at = chars_before[ends] - within
+    safe = np.maximum.accumulate(np.where(within, 0, np.arange(len(ends))))
+    in_bytes = ends[safe]
+    at = np.r_[0, np.cumsum(starts)][in_bytes]
 
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     n = len(points)
@@ -73,7 +74,7 @@ def places(text: str, sizes: np.ndarray) -> tuple[str, np.ndarray]:
     kind[in_run >= 2] = ord(PARAGRAPH)
     letters = kind[at]
     letters[within] = ord(SPLIT_CHAR)
-    return letters.tobytes().decode("ascii"), at
+    return letters[1:].tobytes().decode("ascii"), safe, at, in_bytes
 
 
 def split_oversized(
@@ -91,8 +92,8 @@ def split_oversized(
     Null, empty and short texts, and empty tables, give no rows. Rows with equal keys are cut each by itself.
 
     Scale: one pass without shuffle. Texts of at most ``limit`` bytes cannot have more tokens and are
-    filtered in the scan's stage. Python gives each token's place a letter; cutting and overlaps are
-    a pattern and array functions in the JVM.
+    filtered in the scan's stage. Python gives each token's place a letter and cuts the text there; pieces
+    and overlaps are a pattern and array functions in the JVM, linear in the text's length.
     """
     if not 0 <= overlap + CHAR_TOKENS < limit:
         raise ValueError("the overlap must be smaller than the limit")
@@ -108,48 +109,44 @@ def split_oversized(
             size_of[token] = len(b)
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            rows, letters, offsets = [], [], []
             for lo in range(0, len(texts), 64):  # few texts' ids at a time
                 ids, at = own.encode(texts[lo : lo + 64])
-                for i in range(len(at) - 1):
-                    if at[i + 1] - at[i] > limit:
-                        kinds, chars = places(texts[lo + i], size_of[ids[at[i] : at[i + 1]]])
-                        rows.append(lo + i)
-                        letters.append(kinds)
-                        offsets.append(chars.astype(np.int32))
-            kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(letters, pa.string()), pa.array(offsets, pa.list_(pa.int32()))], names=[key, "__text", "__kinds", "__chars"]
-            )
+                long = [i for i in range(len(at) - 1) if at[i + 1] - at[i] > limit]
+                if long:
+                    yield marked_rows(batch.select([key]).take(pa.array([lo + i for i in long])), [(texts[lo + i], *places(texts[lo + i], size_of[ids[at[i] : at[i + 1]]])) for i in long])
+
+    def marked_rows(keys: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        joined = lambda k: np.concatenate([f[k] for f in found]).astype(np.int32)
+        ends = np.cumsum([0, *(len(f[2]) for f in found)]).astype(np.int32)
+        # the texts' parts between places, without a Python string for each
+        raw = [f[0].encode() for f in found]
+        bases = np.cumsum([0, *map(len, raw)])
+        cuts = np.concatenate([[0], *(f[4][1:] + base for f, base in zip(found, bases))]).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(b"".join(raw)))
+        part_ends = (ends - np.arange(len(ends))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(part_ends), parts), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(joined(k))) for k in (2, 3))]
+        return pa.RecordBatch.from_arrays([keys.column(0), pa.array([f[1] for f in found]), *lists], names=[key, "__kinds", "__parts", "__safe", "__chars"])
 
     long = df.select(key, F.col(text).alias("__text")).where(F.octet_length("__text") > limit)
-    marked = long.mapInArrow(run, f"{named(df, [key])}, __text string, __kinds string, __chars array<int>")
+    marked = long.mapInArrow(run, f"{named(df, [key])}, __kinds string, __parts array<string>, __safe array<int>, __chars array<int>")
 
     added = F.transform(F.regexp_extract_all("__kinds", F.lit(piece_pattern(limit, overlap)), F.lit(0)), F.length)
     ends = F.aggregate("__added", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    # a lookback that lands within a character goes on to the character's start
-    back = F.greatest(F.col("__end0") - overlap, F.lit(0))
-    cut = F.substring("__kinds", F.greatest(back - CHAR_TOKENS + 1, F.lit(1)), F.least(back, F.lit(CHAR_TOKENS)))
-    inside = F.length(cut) - F.length(F.regexp_replace(cut, f"{SPLIT_CHAR}+$", ""))
-    # places are numbered by the tokens before them; place 0 is the text's start
-    char_at = lambda place: F.when(place == 0, F.lit(0)).otherwise(F.element_at("__chars", F.when(place == 0, F.lit(1)).otherwise(place)))
-    pieces = (
-        marked.withColumn("__added", added)
-        .withColumn("__ends", ends)
-        .select(key, "__text", "__kinds", "__chars", F.size("__added").alias("n_pieces"), F.posexplode("__added").alias("__i", "new_tokens"), "__ends")
-        .withColumn("__end0", F.get("__ends", F.col("__i")))
-        .withColumn("__from", F.when(F.col("__i") == 0, F.lit(0)).otherwise(back - inside))
-        .withColumn("__to", F.col("__end0") + F.col("new_tokens"))
-        .withColumn("start_char", char_at(F.col("__from")))
-        .withColumn("end_char", char_at(F.col("__to")))
-    )
-    return pieces.select(
-        key,
-        (F.col("__i") + 1).alias("piece_no"),
-        "n_pieces",
-        "start_char",
-        "end_char",
-        (F.col("__to") - F.col("__from")).alias("n_tokens"),
-        "new_tokens",
-        F.substring("__text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")).alias("piece"),
-    )
+
+    def piece(i: Column) -> Column:
+        """The i-th piece of a text: a stretch of its parts."""
+        before, new = F.get("__ends", i), F.get("__added", i)
+        start = F.get("__safe", F.when(i == 0, F.lit(0)).otherwise(F.greatest(before - overlap, F.lit(0))))
+        return F.struct(
+            (i + 1).alias("piece_no"),
+            F.size("__added").alias("n_pieces"),
+            F.get("__chars", start).alias("start_char"),
+            F.get("__chars", before + new).alias("end_char"),
+            (before + new - start).alias("n_tokens"),
+            new.alias("new_tokens"),
+            F.array_join(F.slice("__parts", start + 1, before + new - start), "").alias("piece"),
+        )
+
+    cut = marked.withColumn("__added", added).withColumn("__ends", ends)
+    pieces = F.transform(F.sequence(F.lit(0), F.size("__added") - 1), piece)
+    return cut.select(key, F.explode(pieces).alias("__piece")).select(key, "__piece.*")
