@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from growthlens.functions.values import strip
 from growthlens.llm.encode import count_tokens
 from growthlens.session import stored
 
@@ -21,7 +22,7 @@ SHARDS, BLOCKS = (16, 65_536), (1_024, 65_536)
 
 def plain_source(name: Column) -> Column:
     """Source names are compared trimmed, in lower case and with _ for -."""
-    return F.translate(F.lower(F.trim(name)), "-", "_")
+    return F.translate(F.lower(strip(name)), "-", "_")
 
 
 @dataclass
