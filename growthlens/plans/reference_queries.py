@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -44,9 +45,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def sql_of(title: str) -> Query:
+    text = REPORT.get(title, title)
+
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        read_tables(spark, folder)
-        return rounded(run_sql(spark, REPORT.get(title, title)))
+        read_tables(spark, folder, [n for n in TABLES if re.search(rf"\b{n}\b", text)])
+        return rounded(run_sql(spark, text))
 
     return query
 
