@@ -24,13 +24,14 @@ def log_likelihood(k: Column, a: Column, b: Column, n: Column) -> Column:
 
 
 def stripes_of(
-    items: np.ndarray, sizes: np.ndarray, larges: np.ndarray, sides: np.ndarray | None, offsets: np.ndarray, ratio: float, need, segments: int, at_once: int = 4_000_000
+    items: np.ndarray, sizes: np.ndarray, larges: np.ndarray, sides: np.ndarray | None, offsets: np.ndarray, ratio: float, need, segments: int, sized: bool = False, at_once: int = 4_000_000
 ) -> Iterator[pa.RecordBatch]:
     """Stripes of the baskets of a batch, summed over the baskets.
 
     An item's partners are those of its basket that are not smaller in size, and at most ``ratio``
     times as large: with the basket ordered by size they are one stretch of it. Of baskets with
-    sides only partners of the other side count. A stripe belongs to the smaller of two items.
+    sides only partners of the other side count. A stripe belongs to the smaller of two items. It has
+    the partners, their counts and, with ``sized``, the sizes of both, else the least count a pair needs.
     """
     names, codes = np.unique(items, return_inverse=True)
     size_of, large_of = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
@@ -61,9 +62,11 @@ def stripes_of(
         x, y, stripe = pair >> 36, pair & 0xFFFFFFFF, pair >> 32
         cuts = np.flatnonzero(np.r_[True, np.diff(stripe) != 0])
         at = pa.array(np.r_[cuts, len(pair)].astype(np.int32))
-        least = need(size_of[x] + size_of[y]) - np.minimum(large_of[x], large_of[y])
-        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (names[y], count.astype(np.int32), least.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(names[x[cuts]]), pa.array((stripe[cuts] & 15).astype(np.int32)), *lists], names=["x", "segment", "y", "k", "least"])
+        last = size_of[y] if sized else (need(size_of[x] + size_of[y]) - np.minimum(large_of[x], large_of[y])).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (names[y], count.astype(np.int32), last)]
+        own = [pa.array(size_of[x[cuts]])] if sized else []
+        head = [pa.array(names[x[cuts]]), pa.array((stripe[cuts] & 15).astype(np.int32)), *own]
+        yield pa.RecordBatch.from_arrays([*head, *lists], names=["x", "segment", "a", "y", "k", "b"] if sized else ["x", "segment", "y", "k", "least"])
 
 
 def together(
@@ -91,7 +94,9 @@ def together(
     min_jaccard (a + b) / (1 + min_jaccard)) common baskets, so its stripes must hold r less the large
     baskets of the one that has fewer. A pair without common small basket has r common large ones, so
     items that have so many are paired through large baskets as well: only by the first h - r + 1 of an
-    item's h large baskets, smaller ones first, of which a pair must share one.
+    item's h large baskets, smaller ones first, of which a pair must share one. Where any common basket
+    makes a pair (``min_count`` 1, ``min_jaccard`` 0) nothing can be left out: the blocks' stripes then count
+    the large baskets themselves, and stripes carry the items' sizes, so pairs are shuffled only once.
 
     Scale: the distinct rows, and those of large baskets, are stored once; their making spreads hot baskets and items. Sizes are joined
     with salted copies of their table. Baskets that become arrays are bounded by ``max_basket``; large ones
@@ -102,6 +107,7 @@ def together(
         raise ValueError("min_jaccard must be from 0 to 1 and min_count at least 1")
     ratio = 1 / min_jaccard if min_jaccard > 0 else float("inf")
     share = min_jaccard / (1 + min_jaccard)
+    every = min_count == 1 and min_jaccard == 0
     rows = stored(df.select(F.col(basket).alias("u"), F.col(item).cast("long").alias("i")).where("u is not null and i is not null").distinct())
     sizes = rows.groupBy("u").agg(F.count("*").alias("u_size"))
     n = sizes.agg(F.count("*").alias("n")).scalar()
@@ -120,29 +126,20 @@ def together(
     def need(total: np.ndarray) -> np.ndarray:
         return np.maximum(min_count, np.ceil(total * share - 1e-9)).astype(np.int64)
 
-    schema = "x bigint, segment int, y array<bigint>, k array<int>, least array<int>"
+    schema = "x bigint, segment int, a bigint, y array<bigint>, k array<int>, b array<bigint>" if every else "x bigint, segment int, y array<bigint>, k array<int>, least array<int>"
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = {c: batch.column(c) for c in batch.schema.names if pa.types.is_list(batch.schema.field(c).type)}
             flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
             offsets = lists["i"].offsets.to_numpy()
-            yield from stripes_of(flat["i"], flat["a"].astype(np.int64), flat["h"].astype(np.int64), flat.get("side"), offsets - offsets[0], ratio, need, 16)
+            yield from stripes_of(flat["i"], flat["a"].astype(np.int64), flat["h"].astype(np.int64), flat.get("side"), offsets - offsets[0], ratio, need, 16, every)
 
     # small baskets: stripes, merged by item and segment
     light = salted_join(salted_join(rows, large, "u", ["i"], "left_anti", salts), known, "i", ["u"], "inner", salts)
     # rows move as they are: lists of parts of baskets would be larger
     baskets = light.repartition("u").groupBy("u").agg(F.collect_list("i").alias("i"), F.collect_list("a").alias("a"), F.collect_list("h").alias("h")).where(F.size("i") > 1)
-    merged = (
-        baskets.select("i", "a", "h")
-        .mapInArrow(stripes, schema)
-        .repartition("x", "segment")
-        .select("x", "segment", F.explode(F.arrays_zip("y", "k", "least")).alias("e"))
-        .groupBy("x", "segment", F.col("e.y").alias("y"))
-        .agg(F.sum("e.k").alias("k"), F.max("e.least").alias("least"))
-        .where("k >= least")
-        .select("x", "y", "k")
-    )
+    in_small = baskets.select("i", "a", "h").mapInArrow(stripes, schema)
     # large baskets: of items with so many that a pair may have no small one in common, those up to the size at
     # which the first h - r + 1 are reached, in blocks of items
     own_need = F.greatest(F.lit(min_count), F.ceil(F.col("a") * min_jaccard - 1e-9)).cast("int")
@@ -154,7 +151,8 @@ def together(
         .where(F.col("before") < F.col("first"))
         .select("i", "a", "h", "u_size")
     )
-    rich = in_large.join(levels, ["i", "u_size"]).select("i", "a", "h", "u")
+    rich = salted_join(in_large, known, "i", ["u"], "inner", salts) if every else in_large.join(levels, ["i", "u_size"])
+    rich = rich.select("i", "a", "h", "u")
     blocks = rich.groupBy("u").agg(F.ceil(F.count("*") / max_basket).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")
     blocked = (
@@ -167,13 +165,26 @@ def together(
     )
     # within a block every item is a side of its own
     side = F.when(F.col("lo") == F.col("hi"), F.sequence(F.lit(1), F.size("i"))).otherwise(F.col("own"))
-    through = (
-        blocked.where(F.size("i") > 1)
-        .select("i", "a", "h", side.alias("side"))
-        .mapInArrow(stripes, schema)
-        .select("x", F.explode("y").alias("y"))
-        .select("x", "y", F.lit(0).cast("long").alias("k"))
+    in_blocks = blocked.where(F.size("i") > 1).select("i", "a", "h", side.alias("side")).mapInArrow(stripes, schema)
+    if every:
+        counted = (
+            in_small.unionByName(in_blocks)
+            .repartition("x", "segment")
+            .select("x", "segment", "a", F.explode(F.arrays_zip("y", "k", "b")).alias("e"))
+            .groupBy("x", "segment", F.col("e.y").alias("y"))
+            .agg(F.sum("e.k").alias("k"), F.max("a").alias("a"), F.max("e.b").alias("b"))
+            .select(F.col("x").alias("item_a"), F.col("y").alias("item_b"), "k", "a", "b", n.alias("n"))
+        )
+        return measured(counted, min_count, min_jaccard, min_lift)
+    merged = (
+        in_small.repartition("x", "segment")
+        .select("x", "segment", F.explode(F.arrays_zip("y", "k", "least")).alias("e"))
+        .groupBy("x", "segment", F.col("e.y").alias("y"))
+        .agg(F.sum("e.k").alias("k"), F.max("e.least").alias("least"))
+        .where("k >= least")
+        .select("x", "y", "k")
     )
+    through = in_blocks.select("x", F.explode("y").alias("y")).select("x", "y", F.lit(0).cast("long").alias("k"))
     candidates = merged.unionByName(through).groupBy("x", "y").agg(F.max("k").alias("k"))
     # the common large baskets of a pair, segment by segment
     sets = in_large.groupBy("i", F.pmod(F.xxhash64("u"), F.lit(segments)).cast("int").alias("part")).agg(F.collect_list("u").alias("us"))
@@ -191,6 +202,11 @@ def together(
         .join(size_of("y", "b"), "y")
         .select(F.col("x").alias("item_a"), F.col("y").alias("item_b"), (F.col("k") + F.coalesce("k_large", F.lit(0))).alias("k"), "a", "b", n.alias("n"))
     )
+    return measured(counted, min_count, min_jaccard, min_lift)
+
+
+def measured(counted: DataFrame, min_count: int, min_jaccard: float, min_lift: float) -> DataFrame:
+    """The counted pairs within the limits, with lift and llr."""
     union = F.col("a") + F.col("b") - F.col("k")
     return (
         counted.where((F.col("k") >= min_count) & (F.col("k") / union >= min_jaccard) & (F.col("k") * F.col("n") >= F.lit(float(min_lift)) * F.col("a") * F.col("b")))

@@ -16,16 +16,17 @@ from growthlens.sources.tables import table
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs with 5 common users, a fifth of all users of either, and three times what chance gives."""
-    return pairs(spark, folder, 3.0).select("repo_a", "repo_b")
+    return pairs(spark, folder, 5, 0.2, 3.0).select("repo_a", "repo_b")
 
 
-def pairs(spark: SparkSession, folder: str, min_lift: float) -> DataFrame:
-    found = together(table(spark, folder, "user_repo_interactions"), "user_id", "repo_id", 5, 0.2, min_lift)
+def pairs(spark: SparkSession, folder: str, min_count: int, min_jaccard: float, min_lift: float) -> DataFrame:
+    found = together(table(spark, folder, "user_repo_interactions"), "user_id", "repo_id", min_count, min_jaccard, min_lift)
     return found.withColumnsRenamed({"item_a": "repo_a", "item_b": "repo_b"})
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs(spark, folder, 0.0).select("repo_a", "repo_b", "k", "a", "b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
+    """Every pair with a common user, however rare or unequal in size, and how far it exceeds chance."""
+    return pairs(spark, folder, 1, 0.0, 0.0).select("repo_a", "repo_b", "k", "a", "b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from growthlens.llm.cooccurrence import together
+from growthlens.llm.queries import p4_pairs
 
 
 def brute(data, min_count, min_jaccard, min_lift):
@@ -71,3 +72,11 @@ def test_empty_and_refused(spark):
     assert together(spark.createDataFrame([("a", 1), ("b", None)], "u string, i int"), "u", "i", 1).count() == 0
     with pytest.raises(ValueError):
         together(df, "u", "i", min_jaccard=2)
+
+
+def test_p4_pairs_has_every_pair(spark, tmp_path):
+    data = baskets_of(8, 120, 30, 2) + [(u, 1) for u in range(90)] + [(u, 2) for u in range(6)]  # a popular item and a niche within it
+    spark.createDataFrame(data, "user_id bigint, repo_id bigint").write.parquet(str(tmp_path / "user_repo_interactions.parquet"))
+    got = {(r["repo_a"], r["repo_b"]): (r["k"], r["a"], r["b"], r["n"]) for r in p4_pairs(spark, str(tmp_path)).collect()}
+    assert got == brute(data, 1, 0.0, 0.0)
+    assert got[1, 2][0] == 6 and min(k for k, *_ in got.values()) == 1
