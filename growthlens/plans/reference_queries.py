@@ -149,6 +149,7 @@ def queries() -> dict[str, Query]:
         "null_profile_missing": with_all(lambda t: profile.null_profile(t).where("missing_count > 0")),
         "null_totals": with_all(profile.null_totals),
         "null_totals_cleaned": with_all(lambda t: profile.null_totals({n: of_all(t)[n] for n in ("daily_timeseries", "weekly_timeseries", "herd_modeling")})),
+        "null_totals_cleaned_all": with_all(lambda t: profile.null_totals(of_all(t))),
         **described,
         "scalar_stats": on("repositories", lambda df: reduce(DataFrame.unionByName, [profile.scalar_stats(df, c).withColumn("column", F.lit(c)) for c in ("stars_count", "forks_count")])),
         "histogram50": on("repositories", lambda df: profile.histogram(df, "stars_count").select("bin", "n")),
@@ -305,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
     interactions = "SELECT * REPLACE (coalesce(username, 'unknown_user') AS username, coalesce(interaction, 1) AS interaction) FROM user_repo_interactions"
     daily = ", ".join(f"{sig_sql(number_sql(c))} AS {c}" for c in ("daily_new_stars", "cumulative_stars", "daily_growth_rate"))
     cleaned_nulls = lambda source, columns: " + ".join(f"(count(*) - count({c}))" for c in columns) + f" AS total_missing_values FROM {source}"
-    return report | {
+    texts = report | {
         "class_means_sql": f"SELECT became_high_growth, {means(False)} FROM herd_modeling GROUP BY 1",
         "weekly_sample": f"SELECT * REPLACE ({sig_sql('herd_momentum_score')} AS herd_momentum_score) FROM ({REPORT['Weekly Time-Series Example']})",
         "top5_categories_nullable": TOP_LANGUAGES,
@@ -373,3 +374,5 @@ def oracle_sql() -> dict[str, str]:
         "standard_scale": f"""WITH {HERD} SELECT repo_id, {', '.join(f'{sig_sql(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()")} AS {c}' for c in ('early_4week_stars', 'later_stars'))} FROM herd""",
         "model_ready": model,
     }
+    nulls_of = lambda name: f"""SELECT '{name}' AS "table", CAST(sum(n) AS BIGINT) AS total_missing_values FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM ({texts[f'clean_{name}']})) ON COLUMNS(*) INTO NAME c VALUE n)"""
+    return texts | {"null_totals_cleaned_all": " UNION ALL ".join(map(nulls_of, TABLES))}

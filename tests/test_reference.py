@@ -43,6 +43,15 @@ def test_query_equals_sql(spark, duck, name):
     assert values(got) == values(expected)
 
 
+@needs_data
+def test_null_totals_of_all_cleaned_tables(spark):
+    totals = {r["table"]: r["total_missing_values"] for r in entry.queries()["null_totals_cleaned_all"](spark, SMALL).collect()}
+    assert set(totals) == set(TABLES)
+    for name, total in totals.items():
+        cleaned = entry.queries()[f"clean_{name}"](spark, SMALL).toArrow()
+        assert total == sum(c.null_count for c in cleaned.columns), name
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
