@@ -31,8 +31,8 @@ def outside(x: np.ndarray, centre: float, mad: float, strictness: float) -> np.n
     threshold for n deviations, sqrt(2 s ln n) with s the strictness, at most MOST_SIZE. The
     shadow of each projection on the axis of u has that half-width whatever the tilt, so a value
     further than MOST_SIZE * 1.4826 (under 10) median absolute deviations off is always outside.
-    A point that is outside only for its differences counts if it is further out than both its
-    neighbours, which it pulls out with it.
+    A point that is outside only for its differences counts if it is further out than its
+    neighbours, which it pulls out with it; of equal ones in a row the first counts.
     """
     n = len(x)
     u = x - centre
@@ -51,22 +51,22 @@ def outside(x: np.ndarray, centre: float, mad: float, strictness: float) -> np.n
     tilted = (a * a - 2 * rho * a * c + c * c) / (1 - rho * rho)
     distance = np.maximum.reduce([a * a + b * b, tilted, b * b + c * c])
     edge = np.r_[-np.inf, np.abs(u), -np.inf]
-    peak = (edge[1:-1] > edge[:-2]) & (edge[1:-1] > edge[2:])
+    peak = (edge[1:-1] > edge[:-2]) & (edge[1:-1] >= edge[2:])
     return far | ((distance > size) & peak)
 
 
-def phase_space_spikes(x: np.ndarray, strictness: float = 2.0, max_rounds: int = 10) -> tuple[np.ndarray, float, float]:
+def phase_space_spikes(x: np.ndarray, strictness: float = 2.0) -> tuple[np.ndarray, float, float]:
     """Flags of spikes, and median and MAD of the whole series.
 
     Flagged points are bridged in a straight line and the ellipsoid is fitted again to the others,
-    until none of them is outside.
+    until none of them is outside. Every round flags a point, so there are at most as many as points.
     """
     centre = float(np.median(x))
     mad = float(np.median(np.abs(x - centre)))
     flags = np.zeros(len(x), dtype=bool)
     bridged, c, m = x, centre, mad
     with np.errstate(over="ignore", invalid="ignore"):
-        for _ in range(max_rounds):
+        for _ in range(len(x)):
             out = outside(bridged, c, m, strictness) & ~flags
             if not out.any():
                 break

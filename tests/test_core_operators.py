@@ -18,7 +18,7 @@ from growthlens.operators.joins import salted_join, with_halo
 from growthlens.operators.orphans import find_orphans
 from growthlens.operators.packed import BARE, QUOTED, Segmenter, split_packed, unquote, written_forms
 from growthlens.operators.rolling import trailing_totals
-from growthlens.operators.spikes import implausible, phase_space_spikes, stuck_runs
+from growthlens.operators.spikes import implausible, outside, phase_space_spikes, stuck_runs
 
 D = dt.date
 AT = dt.datetime
@@ -108,6 +108,22 @@ def test_spikes_on_a_wave():
     assert {50, 120, 121} <= set(np.flatnonzero(flags)) and flags.sum() <= 5
 
 
+def test_spikes_of_two_equal_readings():
+    x = 10 * np.sin(np.arange(503) / 40)
+    x[[125, 126]] = 6
+    assert np.flatnonzero(phase_space_spikes(x)[0]).tolist() == [125, 126]
+
+
+def test_spikes_are_fitted_until_none_is_outside():
+    t = np.arange(400)
+    x = 10 * np.sin(t / 40) + 3 * np.sin(t / 3) * (t % 200 < 60) * np.linspace(0, 1, 400)
+    flags, _, _ = phase_space_spikes(x)
+    kept = np.flatnonzero(~flags)
+    centre = np.median(x[kept])
+    again = outside(np.interp(t, kept, x[kept]), centre, np.median(np.abs(x[kept] - centre)), 2.0)
+    assert len(kept) > 200 and not again[kept].any()
+
+
 def test_stuck_runs():
     assert stuck_runs(np.array([1, 1, 1, 2, 2, 3.0]), 3).tolist() == [True] * 3 + [False] * 3
     assert stuck_runs(np.array([]), 3).tolist() == []
