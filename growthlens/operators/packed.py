@@ -100,10 +100,12 @@ class Segmenter:
         return values
 
 
-def written_forms(df: DataFrame, column: str, most: int) -> list[str]:
-    """The most frequent written forms of the column, at most ``most`` of them."""
+def written_forms(df: DataFrame, column: str, most: int, whole: bool = False) -> list[str]:
+    """The most frequent written forms of the column, at most ``most`` of them; with ``whole`` more are refused."""
     form = F.explode(F.regexp_extract_all(F.col(column), F.lit(POSSESSIVE), F.lit(0))).alias("form")
-    rows = df.select(form).groupBy("form").count().orderBy(F.desc("count"), "form").limit(most).collect()
+    rows = df.select(form).groupBy("form").count().orderBy(F.desc("count"), "form").limit(most + whole).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} written forms in {column}")
     return [r["form"] for r in rows]
 
 
@@ -127,7 +129,8 @@ def split_packed(df: DataFrame, keep: list[str], column: str, forms: list[str],
     separates. Case and repeats are kept. Null and empty fields give no row, as does an empty table.
 
     ``forms`` is the dictionary of known written forms (see ``written_forms``). It steers the cover
-    but is not needed for completeness: unknown forms are edges as well, so its bound loses nothing.
+    but is not needed for completeness: unknown forms are edges as well. Without ``protect_bare`` it decides
+    no row, so its bound loses nothing; with it all forms are needed (``written_forms`` with ``whole``).
     ``keep`` columns must not be called pos or value.
 
     Scale: one pass without shuffle; each worker builds the automaton once, from the broadcast

@@ -112,7 +112,7 @@ def topic_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 def packed_topics(spark: SparkSession, folder: str, protect_bare: bool) -> DataFrame:
     fields = topic_fields(spark, folder)
-    forms = written_forms(fields, "topics", MOST_FORMS)
+    forms = written_forms(fields, "topics", MOST_FORMS, whole=protect_bare)
     return split_packed(fields, ["src_table", "repo_id"], "topics", forms, protect_bare).withColumnRenamed("value", "topic")
 
 

@@ -19,6 +19,7 @@ from growthlens.operators.orphans import find_orphans
 from growthlens.operators.packed import BARE, QUOTED, Segmenter, split_packed, unquote, written_forms
 from growthlens.operators.rolling import trailing_totals
 from growthlens.operators.spikes import implausible, outside, phase_space_spikes, stuck_runs
+from growthlens.plans import core_queries
 
 D = dt.date
 AT = dt.datetime
@@ -214,6 +215,20 @@ def test_segmenter_protects_known_values():
     assert segment("xci/cdx") == ["xci", "cdx"]
 
 
+def test_p6_protected_refuses_a_cut_dictionary(spark, tmp_path, monkeypatch):
+    data = [(1, 'a|b|a|b|"ci/cd"'), (2, "ci/cd|a")]
+    for name in ("repositories", "herd_modeling"):
+        spark.createDataFrame(data, "repo_id bigint, topics string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda q: {(r["repo_id"], r["topic"]) for r in q(spark, str(tmp_path)).collect()}
+    found = {(1, "a"), (1, "b"), (1, "ci/cd"), (2, "ci"), (2, "cd"), (2, "a")}
+    assert run(core_queries.p6_found) == found
+    assert run(core_queries.p6_protected) == found - {(2, "ci"), (2, "cd")} | {(2, "ci/cd")}
+    monkeypatch.setattr(core_queries, "MOST_FORMS", 2)  # "ci/cd" is not among them
+    assert run(core_queries.p6_found) == found
+    with pytest.raises(ValueError):
+        core_queries.p6_protected(spark, str(tmp_path))
+
+
 def test_split_packed(spark):
     data = [(i, t, "clash") for i, (t, _) in enumerate(FIELDS)] + [(99, "|".join(["long", '"q,q"'] * 20_000), "")]
     df = spark.createDataFrame(data, "i int, topics string, __kinds string")
