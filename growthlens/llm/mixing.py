@@ -15,8 +15,8 @@ from growthlens.session import stored
 
 #: Sources that a mixture may have: its targets are held on the driver.
 MOST_SOURCES = 10_000
-#: Input for which there is a shard; shards and blocks of a source, least and most.
-SHARD_BYTES = 64 << 20
+#: Documents for which there is a shard; shards and blocks of a source, least and most.
+SHARD_DOCS = 65_536
 SHARDS, BLOCKS = (16, 65_536), (1_024, 65_536)
 
 
@@ -33,13 +33,12 @@ class Target:
 
 
 def grain(docs: DataFrame, sources: int, blocks: int | None, shards: int | None) -> tuple[int, int]:
-    """Blocks per source and shards: those given, else by the input's size as the optimizer estimates it.
+    """Blocks per source and shards: those given, else by the number of documents, which no file layout changes.
 
     Blocks are some times as many as shards, so that a shard gets a fair number of them. Both are
     bounded, and with them what the driver holds.
     """
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = shards or min(max(size // SHARD_BYTES, SHARDS[0]), SHARDS[1])
+    shards = shards or min(max(docs.count() // SHARD_DOCS, SHARDS[0]), SHARDS[1])
     return blocks or min(max(16 * shards // max(sources, 1), BLOCKS[0]), BLOCKS[1]), shards
 
 

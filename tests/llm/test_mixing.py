@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from growthlens.llm.mixing import mix_report, mix_sources, plan_mixture, read_targets, split_tree
+from growthlens.llm import mixing
+from growthlens.llm.mixing import grain, mix_report, mix_sources, plan_mixture, read_targets, split_tree
 
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -67,3 +68,14 @@ def test_edges(spark, corpus):
     with pytest.raises(ValueError):
         read_targets(spark.createDataFrame([("a-b", 0.5, 1), (" A_B", 0.5, 1)], TARGETS))
     assert plan_mixture({}, [], 3, 0).draws == []
+
+
+def test_grain_does_not_depend_on_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 10, raising=False)
+    monkeypatch.setattr(mixing, "SHARD_BYTES", 100, raising=False)
+    docs = spark.range(2000).selectExpr("id AS doc", "'web' AS source", "repeat('word ', 50) AS text")
+    found = set()
+    for codec, files in (("none", 1), ("zstd", 1), ("zstd", 7)):
+        docs.repartition(files).write.mode("overwrite").option("compression", codec).parquet(str(tmp_path / f"{codec}{files}"))
+        found.add(grain(spark.read.parquet(str(tmp_path / f"{codec}{files}")), 2, None, None))
+    assert found == {(1600, 200)}
