@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from growthlens.functions.dates import parse_week_start
 from growthlens.functions.topics import topic_flags
 from growthlens.functions.values import number_or, per, to_number
-from growthlens.operators.joins import salted_join, with_halo
+from growthlens.operators.joins import spread_join, with_halo
 from growthlens.operators.profile import numeric_columns, top_k, value_counts
 
 TARGET, ID = "became_high_growth", "repo_id"
@@ -79,10 +79,11 @@ def key_counts(df: DataFrame, key: str, out: str) -> DataFrame:
 def interaction_counts(interactions: DataFrame, user: str = "user_id", repo: str = ID) -> DataFrame:
     """Interactions with user_activity_count and repo_popularity_count (0 for a null key).
 
-    The counts are joined back salted, so busy users and popular repositories spread.
+    The rows of busy users and popular repositories spread; only these keys' counts are copied.
     """
-    joined = salted_join(interactions, key_counts(interactions, user, "user_activity_count"), user, [repo])
-    joined = salted_join(joined, key_counts(interactions, repo, "repo_popularity_count"), repo, [user])
+    activity, popularity = key_counts(interactions, user, "user_activity_count"), key_counts(interactions, repo, "repo_popularity_count")
+    joined = spread_join(interactions, activity, activity, user, [repo])
+    joined = spread_join(joined, popularity, popularity, repo, [user])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select(*interactions.columns, zero("user_activity_count"), zero("repo_popularity_count"))
 
@@ -94,9 +95,9 @@ def recommendation_features(interactions: DataFrame, repositories: DataFrame) ->
     repository's count and columns are put together first, so the interactions move once per key.
     """
     side = repositories.select(ID, "language", "topic_count", "stars_count", "forks_count")
-    by_repo = key_counts(interactions, ID, "repo_popularity_count").join(side, ID, "left")
-    joined = salted_join(interactions, key_counts(interactions, "user_id", "user_activity_count"), "user_id", [ID])
-    joined = salted_join(joined, by_repo, ID, ["user_id"])
+    activity, popularity = key_counts(interactions, "user_id", "user_activity_count"), key_counts(interactions, ID, "repo_popularity_count")
+    joined = spread_join(interactions, activity, activity, "user_id", [ID])
+    joined = spread_join(joined, popularity.join(side, ID, "left"), popularity, ID, ["user_id"])
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("user_activity_count", "repo_popularity_count")]
     numbers = [number_or(F.col(c), 0).alias(c) for c in ("topic_count", "stars_count", "forks_count")]
     return joined.select(*interactions.columns, *counts, F.coalesce("language", F.lit("Unknown")).alias("language"), *numbers)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from growthlens.operators.grid import DAY, MONDAY, interval_grid
 from growthlens.operators.heavy_keys import key_totals
-from growthlens.operators.joins import salted_join, with_halo
+from growthlens.operators.joins import salted_join, spread_join, with_halo
 from growthlens.operators.orphans import find_orphans
 from growthlens.operators.packed import BARE, QUOTED, Segmenter, split_packed, unquote, written_forms
 from growthlens.operators.rolling import trailing_totals
@@ -274,6 +274,33 @@ def test_salted_join(spark, rows):
         assert rows(salted_join(big, small, "k", ["i"], how).select("k", "i", "v")) == rows(big.join(small, "k", how).select("k", "i", "v"))
 
 
+@pytest.mark.parametrize("parts", [1, 4, 1024])
+def test_spread_join(spark, rows, parts):
+    data = [(1, i) for i in range(50)] + [(2, 0), (2, 0), (5, 3)] + [(None, i) for i in range(9)]
+    big = spark.createDataFrame(data, "k int, i int")
+    small = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, v string")
+    weights = big.where("k is not null").groupBy("k").count()
+    for how in ("left", "inner"):
+        got = spread_join(big, small, weights, "k", ["i"], how, parts)
+        assert rows(got.select("k", "i", "v")) == rows(big.join(small, "k", how).select("k", "i", "v"))
+    assert spread_join(big.limit(0), small, weights.limit(0), "k", ["i"]).count() == 0
+
+
+def test_spread_join_copies_hot_keys_only(spark):
+    big = spark.range(4000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id AS i")
+    weights = big.groupBy("k").count()
+    plan = spread_join(big, weights.select("k", F.lit("x").alias("v")), weights, "k", ["i"], parts=64)
+    assert plan.where("v is null").count() == 0 and plan.count() == 4000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sides = spread_join(big, weights, weights, "k", ["i"], parts=64)
+        assert sides.count() == 4000
+        hot = weights.where(F.col("count") * 64 >= 4000)
+        assert hot.count() == 1 and hot.selectExpr("ceil(count * 64 / 4000) AS n").first()["n"] == 22
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_halo_is_the_rows_before(spark):
     random.seed(4)
     data = [(k, t, t // 10) for k in "ab" for t in random.sample(range(200), 40)]
