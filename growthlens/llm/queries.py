@@ -13,14 +13,17 @@ from growthlens.llm.mixing import mix_report, mix_sources
 from growthlens.llm.splitting import split_oversized
 from growthlens.sources.tables import table
 
+#: The chi-square distribution's value of one degree of freedom that chance exceeds once in a thousand times.
+ONE_IN_A_THOUSAND = 10.828
+
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs with 5 common users, a fifth of all users of either, and three times what chance gives."""
     return pairs(spark, folder, 5, 0.2, 3.0).select("repo_a", "repo_b")
 
 
-def pairs(spark: SparkSession, folder: str, min_count: int, min_jaccard: float, min_lift: float) -> DataFrame:
-    found = together(table(spark, folder, "user_repo_interactions"), "user_id", "repo_id", min_count, min_jaccard, min_lift)
+def pairs(spark: SparkSession, folder: str, min_count: int, min_jaccard: float, min_lift: float, min_llr: float = 0.0) -> DataFrame:
+    found = together(table(spark, folder, "user_repo_interactions"), "user_id", "repo_id", min_count, min_jaccard, min_lift, min_llr)
     return found.withColumnsRenamed({"item_a": "repo_a", "item_b": "repo_b"})
 
 
@@ -29,6 +32,11 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs(spark, folder, 1, 0.0, 0.0).select("repo_a", "repo_b", "k", "a", "b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
 
 
+def p4_significant(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs that are together more often than chance makes likelier than one in a thousand, by their log-likelihood ratio alone."""
+    return pairs(spark, folder, 1, 0.0, 0.0, ONE_IN_A_THOUSAND).select("repo_a", "repo_b", "k", F.round("lift", 6).alias("lift"), F.round("llr", 6).alias("llr"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents"), ["doc_id"], "text")
 
@@ -56,21 +64,23 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [p4_found, p4_pairs, p8_ids, p9_found, p9_shares, p9_mix, p10_found, p10_pieces]
+    every = [p4_found, p4_pairs, p4_significant, p8_ids, p9_found, p9_shares, p9_mix, p10_found, p10_pieces]
     return {q.__name__: q for q in every}
 
 
 PAIRS_SQL = """WITH p AS (SELECT DISTINCT user_id AS u, repo_id AS r FROM user_repo_interactions WHERE user_id IS NOT NULL AND repo_id IS NOT NULL),
-    c AS (SELECT r, count(*) AS s FROM p GROUP BY 1 HAVING count(*) >= 5), q AS (SELECT p.u, p.r, c.s FROM p JOIN c ON p.r = c.r),
+    c AS (SELECT r, count(*) AS s FROM p GROUP BY 1), q AS (SELECT p.u, p.r, c.s FROM p JOIN c ON p.r = c.r),
     users AS (SELECT count(DISTINCT u) AS n FROM p),
     j AS (SELECT x.r AS repo_a, y.r AS repo_b, count(*) AS k, any_value(x.s) AS a, any_value(y.s) AS b FROM q x JOIN q y ON x.u = y.u AND x.r < y.r GROUP BY 1, 2),
-    f AS (SELECT j.*, users.n FROM j, users WHERE k >= 5 AND 5 * k >= a + b - k)"""
+    f AS (SELECT j.*, users.n FROM j, users)"""
 
 
 def oracle_sql() -> dict[str, str]:
     term = lambda seen, row, column: f"CASE WHEN {seen} > 0 THEN {seen} * ln(CAST({seen} AS DOUBLE) * n / (CAST({row} AS DOUBLE) * ({column}))) ELSE 0.0 END"
     llr = " + ".join([term("k", "a", "b"), term("(a - k)", "a", "n - b"), term("(b - k)", "(n - a)", "b"), term("(n - a - b + k)", "(n - a)", "n - b")])
+    lift = "round(k * n / (CAST(a AS DOUBLE) * b), 6)"
     return {
-        "p4_found": f"{PAIRS_SQL} SELECT repo_a, repo_b FROM f WHERE k * n >= 3 * a * b",
-        "p4_pairs": f"{PAIRS_SQL} SELECT repo_a, repo_b, k, a, b, n, round(k * n / (CAST(a AS DOUBLE) * b), 6) AS lift, round(2 * ({llr}), 6) AS llr FROM f",
+        "p4_found": f"{PAIRS_SQL} SELECT repo_a, repo_b FROM f WHERE k >= 5 AND 5 * k >= a + b - k AND k * n >= 3 * a * b",
+        "p4_pairs": f"{PAIRS_SQL} SELECT repo_a, repo_b, k, a, b, n, {lift} AS lift, round(2 * ({llr}), 6) AS llr FROM f",
+        "p4_significant": f"{PAIRS_SQL} SELECT repo_a, repo_b, k, {lift} AS lift, round(2 * ({llr}), 6) AS llr FROM f WHERE 2 * ({llr}) >= {ONE_IN_A_THOUSAND} AND k * n > a * b",
     }

@@ -1,14 +1,19 @@
 import math
+import os
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from growthlens.llm import queries
 from growthlens.llm.cooccurrence import together
 from growthlens.llm.queries import p4_pairs
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def brute(data, min_count, min_jaccard, min_lift):
     baskets = defaultdict(set)
@@ -53,7 +58,7 @@ def baskets_of(seed, users, items, large, groups=True):
 def test_against_all_pairs(spark, seed, users, items, large, max_basket, limits):
     data = baskets_of(seed, users, items, large)
     df = spark.createDataFrame(data, "user bigint, item bigint").withColumn("k", F.lit("clash"))
-    got = together(df, "user", "item", *limits, max_basket=max_basket, salts=3).collect()
+    got = together(df, "user", "item", *limits, max_basket=max_basket).collect()
     expected = brute(data, *limits)
     assert len(got) == len({(r["item_a"], r["item_b"]) for r in got})
     assert {(r["item_a"], r["item_b"]): (r["k"], r["a"], r["b"], r["n"]) for r in got} == expected
@@ -66,6 +71,37 @@ def test_against_all_pairs(spark, seed, users, items, large, max_basket, limits)
         assert expected
 
 
+def test_significance(spark):
+    data = baskets_of(9, 150, 20, 3)
+    df = spark.createDataFrame(data, "user bigint, item bigint")
+    every = together(df, "user", "item", 1, 0.0).collect()
+    found = {(r["item_a"], r["item_b"]) for r in together(df, "user", "item", 1, 0.0, min_llr=10.0).collect()}
+    assert found == {(r["item_a"], r["item_b"]) for r in every if r["llr"] >= 10 and r["lift"] > 1} and 0 < len(found) < len(every)
+
+
+@pytest.mark.parametrize("max_basket", [1, 8, 512])
+def test_size_of_blocks_does_not_matter(spark, max_basket):
+    if not os.path.exists(SMALL):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(f"{SMALL}/user_repo_interactions.parquet")
+    data = [(r["user_id"], r["repo_id"]) for r in df.collect()]
+    got = together(df, "user_id", "repo_id", 2, 0.1, max_basket=max_basket).collect()
+    assert {(r["item_a"], r["item_b"]): (r["k"], r["a"], r["b"], r["n"]) for r in got} == brute(data, 2, 0.1, 0.0)
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p4_pairs", "p4_significant"])
+def test_query_equals_sql(spark, name):
+    if not os.path.exists(SMALL):
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW user_repo_interactions AS SELECT * FROM read_parquet('{SMALL}/user_repo_interactions.parquet')")
+    got, expected = queries.queries()[name](spark, SMALL).toArrow(), c.sql(queries.oracle_sql()[name]).to_arrow_table()
+    columns = sorted(got.column_names)
+    assert columns == sorted(expected.column_names)
+    values = lambda t: sorted(zip(*(t.column(x).to_pylist() for x in columns)))
+    assert values(got) == values(expected)
+
+
 def test_empty_and_refused(spark):
     df = spark.createDataFrame([], "u string, i int")
     assert together(df, "u", "i").count() == 0
