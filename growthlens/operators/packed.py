@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthlens.session import ship
+from growthlens.session import ship, stored
 
 #: A bare value's characters, and a text in quotes, where a doubled double quote stands for one (fixed forms).
-BARE = r"[\p{L}\p{N}+#._-]+"
+BARE_CHARS = r"\p{L}\p{N}+#._\-"
+BARE = rf"[{BARE_CHARS}]+"
 QUOTED = r"\"(?:[^\"]|\"\")*\"|'[^']*'"
 
-#: The same for the JVM, where only possessive loops need no stack for long texts.
-POSSESSIVE = r""""(?:[^"]++|"")*+"|'[^']*+'|[\p{L}\p{N}+#._-]++"""
+#: Texts in quotes that stand by themselves: no bare character or quote touches them from outside. For the JVM, where
+#: only possessive loops need no stack for long texts.
+CLEAN = rf"""(?<![{BARE_CHARS}"'])(?:"(?:[^"]++|"")*+"|'[^']*+')(?![{BARE_CHARS}"'])"""
+#: Characters of a dictionary that are shipped at once.
+DICTIONARY_CHARS = 4_000_000
 
 
 def unquote(form: str) -> str:
@@ -32,11 +37,13 @@ def unquote(form: str) -> str:
 class Segmenter:
     """Cuts a field into values by the cheapest cover of its characters.
 
-    Edges of the cover, at a position: a known written form that the automaton found there, an
-    unknown written form (a whole run of bare characters, or a quoted text), or one separator
-    character. Quoted texts win over their parts, so separators inside them are protected. With
-    ``protect_bare`` a known value that holds separators is protected without quotes too, unless a
-    cover by more known characters exists.
+    Pieces of a cover are runs of bare characters, texts in quotes, and single separators; with
+    ``protect_bare`` known values that hold separators are pieces without quotes too. A quote may
+    open a text or, like one without partner, stand as a separator, so where quotes are stray or
+    missing covers compete. The dictionary of known quoted forms decides between them. Costs, in
+    this order: the characters of known values, found by the automaton, that the cover cuts apart; quotes that
+    could open a text but stand as separators; the number of pieces. Without a known value at
+    stake this is the reading from left to right, in which every quote with a partner opens a text.
     """
 
     def __init__(self, forms: Iterable[str], protect_bare: bool = False) -> None:
@@ -44,69 +51,75 @@ class Segmenter:
 
         self.automaton = ahocorasick.Automaton()
         self.protect_bare = protect_bare
-        self.bare, self.quoted = regex.compile(BARE), regex.compile(QUOTED)
-        self.loose: set[str] = set()
+        self.bare, self.quoted, self.char = regex.compile(BARE), regex.compile(QUOTED), regex.compile(f"[{BARE_CHARS}]")
         for form in forms:
             self.automaton.add_word(form, len(form))
             value = unquote(form)
-            if protect_bare and value and value != form and not self.bare.fullmatch(value) and '"' not in value:
+            if protect_bare and value and not self.bare.fullmatch(value) and value[0] not in "\"'":
                 self.automaton.add_word(value, len(value))
-                self.loose.add(value)
         self.any = len(self.automaton) > 0
         if self.any:
             self.automaton.make_automaton()
 
-    def edges(self, text: str) -> dict[int, list[tuple[int, bool]]]:
-        """End and being known, of the written forms that may start at each position."""
-        runs = {m.start(): m.end() for m in self.bare.finditer(text)}
-        inside = [False] * (len(text) + 1)  # a cut before this position would fall inside a run
-        for s, e in runs.items():
-            for i in range(s + 1, e):
-                inside[i] = True
-        found: dict[int, list[tuple[int, bool]]] = {}
-        known: set[tuple[int, int]] = set()
-        if self.any:
-            for last, size in self.automaton.iter(text):
-                known.add((last + 1 - size, last + 1))
-        quoted = {i: m.end() for i, c in enumerate(text) if c in "\"'" and (m := self.quoted.match(text, i))}
-        for s, e in [*runs.items(), *quoted.items()]:
-            found.setdefault(s, []).append((e, (s, e) in known))
-        if self.protect_bare:
-            for s, e in known:
-                if s not in quoted and runs.get(s) != e and not inside[s] and not inside[e] and text[s:e] in self.loose:
-                    found.setdefault(s, []).append((e, True))
+    def known(self, text: str) -> list[tuple[int, int]]:
+        """Start and end of the known values in a text: quoted ones that stand by themselves, others between whole runs."""
+        if not self.any:
+            return []
+        found, is_bare = [], self.char.match
+        for last, size in self.automaton.iter(text):
+            s, e = last + 1 - size, last + 1
+            before, after = text[s - 1 : s] if s else "", text[e : e + 1]
+            if text[s] in "\"'":
+                whole = not (before and (before in "\"'" or is_bare(before)) or after and (after in "\"'" or is_bare(after)))
+            else:
+                whole = not (before and is_bare(before) and is_bare(text[s]) or after and is_bare(after) and is_bare(text[e - 1]))
+            if whole:
+                found.append((s, e))
         return found
 
-    def __call__(self, text: str | None) -> list[str]:
-        """The values in order. Null, empty and separator-only fields have none."""
+    def __call__(self, text: str | None, known: list[tuple[int, int]] | None = None) -> list[str]:
+        """The values in order; ``known`` may come from several dictionaries. Null, empty and separator-only fields have none."""
         if not text:
             return []
-        n, edges = len(text), self.edges(text)
-        # cost to the end: (characters in unknown values, pieces); a quoted text that opens here must be taken
-        best: list[tuple[int, int, int]] = [(0, 0, n)] * (n + 1)
+        known = sorted(self.known(text) if known is None else known)
+        runs = {m.start(): m.end() for m in self.bare.finditer(text)}
+        quoted = {i: m.end() for i, c in enumerate(text) if c in "\"'" and (m := self.quoted.match(text, i))}
+        starts = [s for s, _ in known]
+        loose: dict[int, list[int]] = {}
+        for s, e in known:
+            if text[s] not in "\"'":
+                loose.setdefault(s, []).append(e)
+
+        def cut_apart(s: int, e: int) -> int:
+            """Characters of the known values that begin in a piece and go beyond it."""
+            return sum(b - a for a, b in known[bisect_left(starts, s) : bisect_left(starts, e)] if b > e) if known else 0
+
+        # per position: cost to the end (characters cut apart, quotes passed over, pieces), the next position, whether a value
+        n = len(text)
+        best: list[tuple[int, int, int, int, bool]] = [(0, 0, 0, n, False)] * (n + 1)
         for i in range(n - 1, -1, -1):
-            options = [(best[e][0] + (0 if is_known else e - i), best[e][1] + 1, e) for e, is_known in edges.get(i, ())]
-            # inside a run the position is reached by no cover; elsewhere one separator is skipped for free
-            best[i] = min(options) if options else (best[i + 1][0], best[i + 1][1], -(i + 1))
+            ends = [(e, 0, True) for e in loose.get(i, ())]
+            if i in quoted:
+                ends += [(quoted[i], 0, True), (i + 1, 1, False)]
+            else:
+                ends.append((runs[i], 0, True) if i in runs else (i + 1, 0, False))
+            best[i] = min((best[e][0] + cut_apart(i, e), best[e][1] + passed, best[e][2] + taken, e, taken) for e, passed, taken in ends)
         values, i = [], 0
         while i < n:
-            e = best[i][2]
-            if e < 0:
-                i = -e
-                continue
-            if value := unquote(text[i:e]):
+            _, _, _, e, taken = best[i]
+            if taken and (value := unquote(text[i:e])):
                 values.append(value)
             i = e
         return values
 
 
-def written_forms(df: DataFrame, column: str, most: int, whole: bool = False) -> list[str]:
-    """The most frequent written forms of the column, at most ``most`` of them; with ``whole`` more are refused."""
-    form = F.explode(F.regexp_extract_all(F.col(column), F.lit(POSSESSIVE), F.lit(0))).alias("form")
-    rows = df.select(form).groupBy("form").count().orderBy(F.desc("count"), "form").limit(most + whole).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} written forms in {column}")
-    return [r["form"] for r in rows]
+def known_forms(df: DataFrame, column: str) -> DataFrame:
+    """The dictionary: distinct quoted forms (column form) that stand by themselves and whose value holds a separator.
+
+    Others cannot change a cover. As a frame, for the dictionary grows with the data.
+    """
+    form = F.explode(F.regexp_extract_all(F.col(column), F.lit(CLEAN), F.lit(0))).alias("form")
+    return df.select(form).where(~F.regexp_like(F.substring("form", F.lit(2), F.length("form") - 2), F.lit(rf"^\s*[{BARE_CHARS}]*\s*$"))).distinct()
 
 
 _ready: dict[tuple[str, bool], Segmenter] = {}
@@ -120,7 +133,7 @@ def segmenter(name: str, shipped, protect_bare: bool) -> Segmenter:
     return _ready[name, protect_bare]
 
 
-def split_packed(df: DataFrame, keep: list[str], column: str, forms: list[str], protect_bare: bool = False) -> DataFrame:
+def split_packed(df: DataFrame, keep: list[str], column: str, forms: DataFrame | None = None, protect_bare: bool = False, at_once: int = DICTIONARY_CHARS) -> DataFrame:
     """One row per value of ``column``: the ``keep`` columns, pos (from 1) and value.
 
     A value is a run of letters, digits and ``+ # . _ -``, or a text in single or double quotes, in
@@ -128,34 +141,65 @@ def split_packed(df: DataFrame, keep: list[str], column: str, forms: list[str],
     are dropped and blank values do not count. Anything else, also a quote without partner,
     separates. Case and repeats are kept. Null and empty fields give no row, as does an empty table.
 
-    ``forms`` is the dictionary of known written forms (see ``written_forms``). It steers the cover
-    but is not needed for completeness: unknown forms are edges as well. Without ``protect_bare`` it decides
-    no row, so its bound loses nothing; with it all forms are needed (``written_forms`` with ``whole``).
-    ``keep`` columns must not be called pos or value.
+    ``forms`` is the dictionary (see ``known_forms``). Where quotes are stray or missing, so that texts in
+    quotes could be read in several ways, the way that keeps known values whole is taken; without dictionary
+    that from left to right. With ``protect_bare`` known values are whole without quotes too.
+    ``keep`` columns must not be called pos, value or __hits.
 
-    Scale: one pass without shuffle; each worker builds the automaton once, from the broadcast
-    dictionary, whose size ``written_forms`` bounds.
+    Scale: one pass without shuffle. The dictionary is shipped in parts of about ``at_once`` characters. Is
+    there more than one, a pass per part collects the places of known values, stored in between, and the cover
+    is found from all of them: the same rows, with one part in a worker's memory at a time.
     """
-    if clash := {"pos", "value"} & set(keep):
+    if clash := {"pos", "value", "__hits"} & set(keep):
         raise ValueError(f"columns to keep must be renamed: {sorted(clash)}")
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     source = df.select(*keep, F.col(column).cast("string").alias("__packed")).where(F.col("__packed").isNotNull())
-
-    name, shipped = uuid.uuid4().hex, ship(df.sparkSession).sparkContext.broadcast(forms)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = segmenter(name, shipped, protect_bare)
+    context = ship(df.sparkSession).sparkContext
+
+    parts = 1
+    if forms is not None:
+        forms = stored(forms)
+        parts = 1 + (forms.agg(F.sum(F.length("form"))).first()[0] or 0) // at_once
+
+    def part(k: int) -> tuple:
+        own = forms if parts == 1 or forms is None else forms.where(F.pmod(F.xxhash64("form"), F.lit(parts)) == k)
+        return uuid.uuid4().hex, context.broadcast([r["form"] for r in own.collect()] if own is not None else [])
+
+    def rows_of(batch: pa.RecordBatch, found: list[list[str]]) -> pa.RecordBatch:
+        at = [i for i, values in enumerate(found) for _ in values]
+        kept = batch.select(keep).take(pa.array(at, pa.int64())).columns if keep else []
+        pos = pa.array([p for values in found for p in range(1, len(values) + 1)], pa.int32())
+        return pa.RecordBatch.from_arrays([*kept, pos, pa.array([v for values in found for v in values], pa.string())], names=[*keep, "pos", "value"])
+
+    name, shipped = part(0)
+    head = fields + (", " if fields else "")
+    if parts == 1:
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            segment = segmenter(name, shipped, protect_bare)
+            for batch in batches:
+                yield rows_of(batch, [segment(t) for t in batch.column("__packed").to_pylist()])
+
+        return source.mapInArrow(cut, f"{head}pos int, value string")
+
+    def finder(name: str, shipped):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = segmenter(name, shipped, protect_bare)
+            for batch in batches:
+                hits = [[*old, *(x for hit in own.known(t) for x in hit)] for t, old in zip(batch.column("__packed").to_pylist(), batch.column("__hits").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.select([*keep, "__packed"]).columns, pa.array(hits, pa.list_(pa.int32()))], names=[*keep, "__packed", "__hits"])
+
+        return find
+
+    marked = source.withColumn("__hits", F.array().cast("array<int>"))
+    for k in range(parts):
+        name, shipped = (name, shipped) if k == 0 else part(k)
+        marked = stored(marked.mapInArrow(finder(name, shipped), f"{head}__packed string, __hits array<int>"))
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = Segmenter([], protect_bare)
         for batch in batches:
-            rows, pos, values = [], [], []
-            for i, text in enumerate(batch.column("__packed").to_pylist()):
-                found = segment(text)
-                rows += [i] * len(found)
-                pos += range(1, len(found) + 1)
-                values += found
-            kept = batch.select(keep).take(pa.array(rows, pa.int64())) if keep else None
-            yield pa.RecordBatch.from_arrays(
-                [*(kept.columns if kept is not None else []), pa.array(pos, pa.int32()), pa.array(values, pa.string())],
-                names=[*keep, "pos", "value"],
-            )
-
-    return source.mapInArrow(cut, f"{fields}{', ' if fields else ''}pos int, value string")
+            pairs = [list(zip(h[::2], h[1::2])) for h in batch.column("__hits").to_pylist()]
+            yield rows_of(batch, [segment(t, known) for t, known in zip(batch.column("__packed").to_pylist(), pairs)])
+
+    return marked.mapInArrow(cover, f"{head}pos int, value string")

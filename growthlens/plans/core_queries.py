@@ -12,7 +12,7 @@ from growthlens.functions.dates import month_key, read_week
 from growthlens.operators.grid import DAY, MONDAY, interval_grid
 from growthlens.operators.heavy_keys import key_totals
 from growthlens.operators.orphans import find_orphans
-from growthlens.operators.packed import split_packed, written_forms
+from growthlens.operators.packed import known_forms, split_packed
 from growthlens.operators.rolling import trailing_totals
 from growthlens.operators.spikes import implausible
 from growthlens.sources.tables import table
@@ -20,8 +20,6 @@ from growthlens.sources.tables import table
 #: First and last date of a daily reading.
 FIRST_DAY, LAST_DAY = "2015-01-01", "2026-06-14"
 BOUNDS = {"daily_growth_rate": (-1.0, None), "weekly_growth_rate": (-1.0, None), "herd_momentum_score": (0.0, None)}
-#: Known written forms of topics that are shipped to the workers, at most.
-MOST_FORMS = 100_000
 
 
 def daily_readings(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,11 +110,11 @@ def topic_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 def packed_topics(spark: SparkSession, folder: str, protect_bare: bool) -> DataFrame:
     fields = topic_fields(spark, folder)
-    forms = written_forms(fields, "topics", MOST_FORMS, whole=protect_bare)
-    return split_packed(fields, ["src_table", "repo_id"], "topics", forms, protect_bare).withColumnRenamed("value", "topic")
+    return split_packed(fields, ["src_table", "repo_id"], "topics", known_forms(fields, "topics"), protect_bare).withColumnRenamed("value", "topic")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The topics of each field; where quotes are stray or missing, known topics stay whole."""
     return packed_topics(spark, folder, protect_bare=False).distinct()
 
 
@@ -133,8 +131,8 @@ def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Keys that hold at least 2 % of all rows."""
     stars = table(spark, folder, "stars")
-    least = stars.count()
-    return key_totals(stars, ["repo_id", "repo_full_name"]).where(F.col("key_value").isNotNull() & (F.col("n_rows") * 50 >= least)).select("key_field", "key_value")
+    n = stars.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return key_totals(stars, ["repo_id", "repo_full_name"]).where(F.col("key_value").isNotNull() & (F.col("n_rows") * 50 >= n)).select("key_field", "key_value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
