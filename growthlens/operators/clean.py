@@ -6,12 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from growthlens.functions.dates import REFERENCE_DAY, age_days, parse_week_start, to_utc
 from growthlens.functions.topics import topic_count
 from growthlens.functions.values import clean_text, filled_text, is_known, number_or, per, text_or, to_number, whole_or
 from growthlens.operators.profile import exact_percentiles
 
+#: Columns whose nulls become the column's median (fixed values).
 REPOSITORY_NUMBERS = ["stars_count", "forks_count", "watchers_count", "open_issues_count", "repo_age_days", "days_since_update", "days_since_push", "topic_count", "description_length"]
 HERD_NUMBERS = [
     "stars_count", "forks_count", "watchers_count", "open_issues_count", "early_4week_stars", "early_avg_weekly_stars",
@@ -25,18 +27,19 @@ def where_present(df: DataFrame, rules: dict[str, tuple[str, Column]]) -> DataFr
 
 
 def coerce_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Timestamps of the columns that exist; unreadable texts become null, row by row."""
-    return where_present(df, {c: (c, to_utc(F.col(c))) for c in columns if c in df.columns})
+    """Timestamps of the columns that exist; unreadable texts become null, row by row. Typed columns stay as they are."""
+    typed = (T.TimestampType, T.TimestampNTZType)
+    return where_present(df, {c: (c, to_utc(F.col(c))) for c in columns if c in df.columns and not isinstance(df.schema[c].dataType, typed)})
 
 
-def impute_medians(df: DataFrame, columns: Sequence[str], spread: bool | None = None) -> DataFrame:
+def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as numbers, nulls replaced by the column's exact median (null where there is none).
 
-    All medians come from one pass over the table; a handful of numbers goes through the driver.
+    All medians come from the same two passes over the table; a handful of numbers goes through the driver.
     """
     columns = [c for c in columns if c in df.columns]
     numbers = df.withColumns({c: to_number(F.col(c)) for c in columns})
-    medians = exact_percentiles(numbers, columns, [0.5], spread)
+    medians = exact_percentiles(numbers, columns, [0.5])
     return numbers.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c][0]).cast("double")) for c in columns})
 
 
@@ -83,7 +86,8 @@ def clean_interactions(df: DataFrame) -> DataFrame:
 
 
 def clean_daily(df: DataFrame) -> DataFrame:
-    df = where_present(df, {"date": ("date", to_utc(F.col("date")).cast("date"))})
+    if "date" in df.columns and not isinstance(df.schema["date"].dataType, T.DateType):
+        df = df.withColumn("date", to_utc(F.col("date")).cast("date"))
     return where_present(df, {c: (c, number_or(F.col(c), 0)) for c in ("daily_new_stars", "cumulative_stars", "daily_growth_rate")})
 
 

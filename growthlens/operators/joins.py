@@ -6,16 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, by: list[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """Equi-join on ``key`` in which a hot key's rows of ``big`` are spread over ``salts`` tasks by their ``by`` columns.
-
-    Each row of ``small`` is copied to all of them, so ``small`` should hold few rows per key. Null keys match nothing.
-    """
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
-    return big.withColumn("__salt", spread).join(copies, [key, "__salt"], how).drop("__salt")
-
-
 def spread_join(big: DataFrame, small: DataFrame, weights: DataFrame, key: str, by: list[str], how: str = "left", parts: int = 1024) -> DataFrame:
     """Equi-join on ``key`` in which the rows of a hot key of ``big`` are spread over several tasks by their ``by`` columns.
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from growthlens.functions.values import half_even, percent, to_number
 
-#: Bytes from which exact percentiles are selected over several tasks (the result is the same).
-ONE_TASK_BYTES = 256 << 20
-
 
 def numeric_columns(df: DataFrame, flags: bool = False) -> list[str]:
     """Columns of a numeric type, with ``flags`` booleans too."""
@@ -22,12 +19,6 @@ def numeric_columns(df: DataFrame, flags: bool = False) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def unpivot(df: DataFrame, columns: Sequence[str], value_type: str) -> DataFrame:
-    """Long form: column (name) and value of the columns."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(value_type).alias("value")) for c in columns))
-    return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
-
-
 def null_profile(tables: dict[str, DataFrame]) -> DataFrame:
     """table, column, missing_count and missing_percent (2 digits, halves to even; null for an empty table) of all columns.
 
@@ -49,77 +40,106 @@ def null_totals(tables: dict[str, DataFrame]) -> DataFrame:
     return null_profile(tables).groupBy("table").agg(F.sum("missing_count").alias("total_missing_values"))
 
 
-def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], spread: bool | None = None, cuts: int = 512) -> dict[str, list[float | None]]:
-    """Exact percentiles with linear interpolation; None for a column without values. Null and NaN do not count.
+def ranked(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], stats: dict[str, Callable[[Column], Column]] | None = None, accuracy: int = 10_000, at_once: int = 4_000_000
+) -> tuple[dict[str, list[float | None]], dict[str, dict]]:
+    """Exact percentiles with linear interpolation, and aggregates ``stats``, of each column; None without values. Null and NaN do not count.
 
-    Small inputs take one aggregate. From ONE_TASK_BYTES on (as the optimizer estimates), or with ``spread``,
-    the ranks are selected: approximate cuts divide each column into ranges, counts of the ranges
-    tell which ones hold a wanted rank, and only their values are counted and ordered, each range in
-    a task of its own. Both ways give the same numbers.
+    One pass counts, computes the aggregates and sketches two bounds around each wanted rank, which
+    a four-thousandth of the values (4 / ``accuracy``) lies between. A second pass counts what is below and
+    counts each value between them; these few are ordered, and the rank is read off. Where over ``at_once``
+    values may be between the bounds, they are first drawn closer, among these values. Bounds that turn
+    out not to hold the rank (the sketch is only approximate) are given up and the pass is repeated.
     """
-    columns = list(columns)
+    columns, stats = list(columns), stats or {}
     if not columns:
-        return {}
+        return {}, {}
     values = df.select(*(F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
-    names = values.columns
-    if spread is None:
-        spread = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > ONE_TASK_BYTES
-    if not spread:
-        row = values.agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in names)).first()
-        return {c: list(row[n]) if row[n] is not None else [None] * len(shares) for c, n in zip(columns, names)}
-    bounds = values.approxQuantile(names, [i / cuts for i in range(1, cuts)], 1 / (4 * cuts))
-    long = unpivot(values, names, "double").where("value is not null")
-    edges = {n: sorted(set(b)) for n, b in zip(names, bounds)}
-    steps = F.create_map(*(x for n in names for x in (F.lit(n), F.array(*map(F.lit, edges[n])).cast("array<double>"))))
-    ranged = long.withColumn("part", F.size(F.filter(F.element_at(steps, F.col("column")), lambda e: e < F.col("value"))))
-    found: dict[str, dict[int, int]] = {n: {} for n in names}
-    for r in ranged.groupBy("column", "part").count().collect():
-        found[r["column"]][r["part"]] = r["count"]
-    ranks: dict[str, list[tuple[int, int, float]]] = {}
-    starts: dict[tuple[str, int], int] = {}
-    for n in names:
-        total = sum(found[n].values())
-        ranks[n] = [(int((total - 1) * p), min(int((total - 1) * p) + 1, total - 1), (total - 1) * p - int((total - 1) * p)) for p in shares] if total else []
-        before = 0
-        for part in sorted(found[n]):
-            if any(before <= k < before + found[n][part] for lo, hi, _ in ranks[n] for k in (lo, hi)):
-                starts[n, part] = before
-            before += found[n][part]
-    if not starts:
-        return {c: [None] * len(shares) for c in columns}
-    wanted = df.sparkSession.createDataFrame([(n, p, s) for (n, p), s in starts.items()], "column string, part int, start bigint")
-    order = W.partitionBy("column", "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ordered = (
-        ranged.join(F.broadcast(wanted), ["column", "part"])  # at most two rows per column and share
-        .groupBy("column", "part", "start", "value")
-        .count()
-        .withColumn("last", F.sum("count").over(order) + F.col("start") - 1)
-    )
-    need = df.sparkSession.createDataFrame([(n, k) for n in names for lo, hi, _ in ranks[n] for k in {lo, hi}], "column string, rank bigint")
-    hits = ordered.join(F.broadcast(need.distinct()), "column").where("rank between last - count + 1 and last").select("column", "rank", "value").collect()
-    at = {(r["column"], r["rank"]): r["value"] for r in hits}
-    return {c: [at[n, lo] * (1 - f) + at[n, hi] * f if f else at[n, lo] for lo, hi, f in ranks[n]] or [None] * len(shares) for c, n in zip(columns, names)}
-
-
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, spread: bool | None = None) -> DataFrame:
+    slack = 2 / accuracy
+
+    def sketch(x: Column, around: Sequence[float]) -> Column:
+        points = [min(max(p + d, 0.0), 1.0) for p in around for d in (-slack, slack)]
+        return F.percentile_approx(x, F.array(*map(F.lit, points)), F.lit(accuracy))
+
+    def bounds(points: Sequence[float], p: float, of: Sequence[float]) -> tuple[float | None, float | None]:
+        at = 2 * of.index(p)
+        return (points[at] if p > slack else None, points[at + 1] if p < 1 - slack else None)
+
+    wanted = list(dict.fromkeys(shares))
+    row = values.agg(*(F.struct(F.count(x).alias("n"), sketch(F.col(x), wanted).alias("points"), *(f(F.col(x)).alias(k) for k, f in stats.items())).alias(x) for x in values.columns)).first()
+    totals = {x: row[x]["n"] for x in values.columns}
+    place = {x: {p: (int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1), (n - 1) * p - int((n - 1) * p)) for p in wanted} for x, n in totals.items() if n}
+    between = {(x, p): bounds(row[x]["points"], p, wanted) for x in place for p in wanted} if wanted else {}
+    inside = {k: totals[k[0]] for k in between}
+    at: dict[tuple[str, float], dict[int, float]] = {}
+    while between:
+        for x, p in [k for k in between if inside[k] * 2 * slack > at_once and between[k] != (None, None)]:
+            lo, hi = between[x, p]
+            v = F.col(x)
+            is_in = (v >= lo if lo is not None else v.isNotNull()) & (v <= hi if hi is not None else v.isNotNull())
+            below, n_in = values.agg(F.count(F.when(v < lo, 1)) if lo is not None else F.lit(0), F.count(F.when(is_in, 1))).first()
+            if below > place[x][p][0] or below + n_in <= place[x][p][1] or n_in >= inside[x, p]:
+                inside[x, p] = 0  # no closer
+                continue
+            q = (place[x][p][0] - below) / n_in
+            lower, upper = bounds(values.agg(sketch(F.when(is_in, v), [q])).first()[0], q, [q])
+            between[x, p], inside[x, p] = (lo if lower is None else lower, hi if upper is None else upper), int(n_in * 2 * slack)
+        found = _select(values, between, {k: place[k[0]][k[1]][:2] for k in between})
+        at |= {k: v for k, v in found.items() if set(place[k[0]][k[1]][:2]) <= set(v)}
+        between = {k: (None, None) for k in between if k not in at}
+
+    def interpolated(x: str, p: float) -> float | None:
+        if x not in place:
+            return None
+        lo, hi, f = place[x][p]
+        return at[x, p][lo] * (1 - f) + at[x, p][hi] * f if f else at[x, p][lo]
+
+    return {c: [interpolated(x, p) for p in shares] for c, x in zip(columns, values.columns)}, {c: {k: row[x][k] for k in ("n", *stats)} for c, x in zip(columns, values.columns)}
+
+
+def _select(values: DataFrame, between: dict[tuple[str, float], tuple[float | None, float | None]], ranks: dict[tuple[str, float], tuple[int, ...]]) -> dict[tuple[str, float], dict[int, float]]:
+    """The values at the ranks (from 0) of the columns, as far as they lie between the bounds."""
+    keys = list(between)
+
+    def one(i: int) -> Column:
+        (x, _), (lo, hi) = keys[i], between[keys[i]]
+        v = F.col(x)
+        seen = v.isNotNull() if hi is None else v <= hi
+        return F.when(seen, F.struct(F.lit(i).alias("i"), (v if lo is None else F.when(v >= lo, v)).alias("v")))  # null stands for all below
+
+    counted = values.select(F.explode(F.array_compact(F.array(*map(one, range(len(keys)))))).alias("e")).groupBy("e.i", "e.v").count()
+    up_to = W.partitionBy("i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    need = values.sparkSession.createDataFrame([(i, r) for i, k in enumerate(keys) for r in set(ranks[k])], "i int, rank bigint")
+    ends = counted.withColumn("end", F.sum("count").over(up_to)).where("v is not null")
+    hits = ends.join(F.broadcast(need), "i").where("rank >= end - count and rank < end")  # two rows per column and share
+    found: dict[tuple[str, float], dict[int, float]] = {}
+    for r in hits.select("i", "rank", "v").collect():
+        found.setdefault(keys[r["i"]], {})[r["rank"]] = r["v"]
+    return found
+
+
+def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact percentiles of each column (see ``ranked``)."""
+    return ranked(df, columns, shares)[0]
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, count, mean, std (of the sample), min, p25, p50, p75 and max of the numeric columns.
 
     Exact percentiles, unlike DataFrame.summary. Null and NaN do not count; std of one value is null.
     """
     columns = list(columns or numeric_columns(df))
-    quartiles = exact_percentiles(df, columns, [0.25, 0.5, 0.75], spread)
-    clean = {c: to_number(F.col(f"`{c}`")) for c in columns}
-    stats = [F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).alias(f"s{i}") for i, x in enumerate(clean.values())]
-    row = df.agg(*stats).first()
-    rows = [(c, s["count"], s["mean"], s["std"], s["min"], *quartiles[c], s["max"]) for c, s in zip(columns, row)]
+    quartiles, stats = ranked(df, columns, [0.25, 0.5, 0.75], {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
+    rows = [(c, s["n"], s["mean"], s["std"], s["min"], *quartiles[c], s["max"]) for c, s in stats.items()]
     return df.sparkSession.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def scalar_stats(df: DataFrame, column: str) -> DataFrame:
     """One row: minimum, maximum, mean and median of a column read as a number."""
     x = to_number(F.col(column))
-    median = exact_percentiles(df.select(x.alias(column)), [column], [0.5])[column][0]
-    return df.agg(F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.avg(x).alias("mean")).withColumn("median", F.lit(median).cast("double"))
+    medians, stats = ranked(df.select(x.alias(column)), [column], [0.5], {"minimum": F.min, "maximum": F.max, "mean": F.avg})
+    own = stats[column]
+    return df.sparkSession.createDataFrame([(own["minimum"], own["maximum"], own["mean"], medians[column][0])], "minimum double, maximum double, mean double, median double")
 
 
 def value_counts(df: DataFrame, column: str, out: str = "n", keep_null: bool = False) -> DataFrame:

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,12 @@ def get_session(app: str = "growthlens", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
+    Only with a local master may that be unset: then a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="growthlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -48,23 +52,52 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Places of the stored frames that have not been dropped, and their sessions.
+_stored: dict[str, SparkSession] = {}
+
+
+def place(spark: SparkSession) -> str:
+    """A new path in the shared folder, dropped with the stored frames."""
+    path = f"{shared_dir(spark)}/growthlens-{uuid.uuid4().hex}"
+    _stored[path] = spark
+    return path
+
+
 def stored(df: DataFrame, partitions_by: tuple[str, ...] = ()) -> DataFrame:
     """The frame, written once as a table in the shared folder and read from there.
 
     Cuts the lineage for frames that are used several times: a lost executor costs a read, not a
-    computation. The files are deleted when the driver's process ends in order.
+    computation. The files stay until ``drop_stored``, the end of a ``scratch`` block, or the end of the driver's process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/growthlens-{uuid.uuid4().hex}"
+    path = place(spark)
     df.write.partitionBy(*partitions_by).parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(paths: Iterable[str] | None = None) -> None:
+    """Delete the files of stored frames: those at the paths, or all. Frames that read them are of no use afterwards."""
+    for path in list(_stored if paths is None else paths):
+        _forget(_stored.pop(path), path)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is stored within the block is deleted at its end, so a query's action belongs into the block too."""
+    before = set(_stored)
+    try:
+        yield
+    finally:
+        drop_stored([p for p in _stored if p not in before])
+
+
+atexit.register(drop_stored)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session may have ended before
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)

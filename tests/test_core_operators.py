@@ -5,6 +5,7 @@ import os
 import random
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -13,14 +14,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from growthlens import session
 from growthlens.operators.grid import DAY, MONDAY, interval_grid
 from growthlens.operators.heavy_keys import key_totals
-from growthlens.operators.joins import salted_join, spread_join, with_halo
+from growthlens.operators.joins import spread_join, with_halo
 from growthlens.operators.orphans import find_orphans
 from growthlens.operators.packed import BARE, QUOTED, Segmenter, known_forms, split_packed, unquote
 from growthlens.operators.rolling import trailing_totals
 from growthlens.operators.spikes import implausible, outside, phase_space_spikes, stuck_runs
-from growthlens.plans import core_queries
 
 D = dt.date
 AT = dt.datetime
@@ -187,7 +188,7 @@ def test_orphans_against_sets(spark, rows):
             expected.add((s, i, "deleted" if i in gone else "missing", p))
         elif s == "a" and t and i in first and first[i] > t:
             expected.add((s, i, "late", p))
-    for ranges in (1, 7, 1024):
+    for ranges in (1, 7, None):
         got = [tuple(r) for r in find_orphans(*frames, late_sources=("a",), ranges=ranges).select("src", "id", "kind", "period").collect()]
         assert len(got) == len(set(got)) and set(got) == expected
     assert any(k == "late" for _, _, k, _ in expected)
@@ -321,13 +322,6 @@ def test_key_totals(spark, most_keys):
 # joins -----------------------------------------------------------------------------------------
 
 
-def test_salted_join(spark, rows):
-    big = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (None, 1)], "k int, i int")
-    small = spark.createDataFrame([(1, "a"), (3, "b")], "k int, v string")
-    for how in ("left", "inner"):
-        assert rows(salted_join(big, small, "k", ["i"], how).select("k", "i", "v")) == rows(big.join(small, "k", how).select("k", "i", "v"))
-
-
 @pytest.mark.parametrize("parts", [1, 4, 1024])
 def test_spread_join(spark, rows, parts):
     data = [(1, i) for i in range(50)] + [(2, 0), (2, 0), (5, 3)] + [(None, i) for i in range(9)]
@@ -367,6 +361,28 @@ def test_halo_is_the_rows_before(spark):
             assert sorted(r["t"] for r in got if r["k"] == k and r["c"] == c and r["__halo"]) == own[max(0, own.index(first) - 3) : own.index(first)]
 
 
+# storage ---------------------------------------------------------------------------------------
+
+
+def test_storage_needs_a_shared_folder_off_local_masters(spark):
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError):
+        session.shared_dir(cluster)
+    assert session.shared_dir(spark)
+
+
+def test_scratch_leaves_nothing(spark):
+    folder = session.shared_dir(spark).removeprefix("file://")
+    kept = session.stored(spark.range(3))
+    before = set(os.listdir(folder))
+    with session.scratch():
+        assert session.stored(spark.range(5)).count() == 5 and len(os.listdir(folder)) > len(before)
+    assert set(os.listdir(folder)) == before and kept.count() == 3
+    session.drop_stored()
+    assert not [f for f in os.listdir(folder) if f.startswith("growthlens-")]
+
+
 # workers ---------------------------------------------------------------------------------------
 
 

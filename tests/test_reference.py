@@ -113,19 +113,21 @@ def test_replace_table(spark):
 # profile ---------------------------------------------------------------------------------------
 
 
-def test_exact_percentiles_both_ways(spark):
+@pytest.mark.parametrize("accuracy,at_once", [(10_000, 4_000_000), (20, 100), (5, 1), (10, 10_000)])
+def test_exact_percentiles(spark, accuracy, at_once):
     import random
 
     random.seed(1)
     data = [(random.choice([None, float("nan"), 5.0, random.random() * 100]), random.randrange(10), None) for _ in range(3000)]
     df = spark.createDataFrame(data, "a double, `b.c` int, d double")
     shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    one, many = (profile.exact_percentiles(df, ["a", "b.c", "d"], shares, spread) for spread in (False, True))
-    assert one == many and one["d"] == [None] * 7
+    expected = df.where("not isnan(a)").agg(F.percentile("a", F.array(*map(F.lit, shares)))).first()[0], df.agg(F.percentile("`b.c`", F.array(*map(F.lit, shares)))).first()[0]
+    got, stats = profile.ranked(df, ["a", "b.c", "d"], shares, {"most": F.max}, accuracy, at_once)
+    assert got["a"] == pytest.approx(expected[0], rel=1e-15) and got["b.c"] == expected[1] and got["d"] == [None] * 7
+    assert stats["b.c"] == {"n": 3000, "most": 9.0} and stats["d"] == {"n": 0, "most": None}
     few = spark.createDataFrame([(1,), (2,), (4,), (9,)], "x int")
-    for spread in (False, True):
-        assert profile.exact_percentiles(few, ["x"], [0.25, 0.5, 0.75], spread) == {"x": [1.75, 3.0, 5.25]}
-        assert profile.exact_percentiles(few.limit(0), ["x"], [0.5], spread) == {"x": [None]}
+    assert profile.ranked(few, ["x"], [0.25, 0.5, 0.75], None, accuracy, at_once)[0] == {"x": [1.75, 3.0, 5.25]}
+    assert profile.exact_percentiles(few.limit(0), ["x"], [0.5]) == {"x": [None]} and profile.exact_percentiles(few, [], [0.5]) == {}
 
 
 def test_profile_edges(spark):
