@@ -10,6 +10,7 @@ from growthlens.session import stored
 
 #: Bits of a bitmap word.
 WORD = 64
+LEAST_RANGES, RANGE_ROWS = 64, 1 << 20
 
 
 def bit(position: Column) -> Column:
@@ -42,7 +43,7 @@ def find_orphans(
     parents: DataFrame,
     removed: DataFrame,
     late_sources: tuple[str, ...] = (),
-    ranges: int = 1024,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Orphan references per source and period.
 
@@ -59,9 +60,14 @@ def find_orphans(
     reference was seen; the survivors of this day-wise test are compared by their exact times.
 
     Scale: references are reduced to one row per (source, id, period) map-side before any shuffle, so
-    a hot key is a few rows. These rows and the dictionary are stored, as both are used three times. A bitmap word covers 64 keys, so a word's arrival days are at most 64.
+    a hot key is a few rows. These rows and the dictionary are stored, as both are used three times. Bitmaps are
+    compressed: words without a set bit have no row. A word covers 64 keys, so its arrival days are at most 64;
+    only the words of ``late_sources`` are kept by day. ``ranges`` is by default one for RANGE_ROWS reduced
+    references, and at least LEAST_RANGES, so no range's ranking grows with the data; no row depends on it.
     """
     refs = stored(references.where(F.col("id").isNotNull()).groupBy("src", "id", "period").agg(F.min("seen_at").alias("seen_at")))
+    if ranges is None:
+        ranges = max(LEAST_RANGES, refs.count() // RANGE_ROWS)
     own = (
         parents.where(F.col("id").isNotNull())
         .groupBy("id")
@@ -86,7 +92,8 @@ def find_orphans(
         "undated", F.col("present").bitwiseAND(F.bitwise_not(F.aggregate("arrivals", F.lit(0).cast("long"), lambda acc, a: acc.bitwiseOR(a["bits"]))))
     )
     coded = refs.join(codes, "id")
-    ref_words = coded.groupBy("src", "period", F.to_date("seen_at").alias("day"), *place).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    seen_day = F.when(F.col("src").isin(*late_sources), F.to_date("seen_at")) if late_sources else F.lit(None).cast("date")
+    ref_words = coded.groupBy("src", "period", seen_day.alias("day"), *place).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     zero = F.lit(0).cast("long")
     present, removed_bits = F.coalesce("present", zero), F.coalesce("gone", zero)
     arrived = F.aggregate(
