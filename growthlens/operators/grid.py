@@ -35,26 +35,22 @@ def interval_grid(
     counts. An empty table gives no rows. Other columns are ignored, whatever their names.
 
     Scale: readings are reduced per (key, instant) first, so repeats of a hot key collapse map-side.
-    The next reading is looked up within (key, chunk of ``chunk_cells`` cells) and, across chunks,
-    from one row per chunk, so no task sorts all of a hot key.
+    The next reading is looked up within (key, chunk of ``chunk_cells`` cells) and, for a chunk's last
+    reading, from one row per chunk, so no task sorts all of a hot key.
     """
     span = span or cell
     t = F.col(time).cast("timestamp").cast("long")
-    readings = (
+    raw = (
         df.select(F.col(key).alias("k"), t.alias("t"), F.col(value).cast("double").alias("v"))
         .where(F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("v").isNotNull())
         .withColumn("chunk", F.expr(f"(t - {anchor}) div {cell * chunk_cells}"))
-        .groupBy("k", "chunk", "t")
-        .agg(F.max("v").alias("v"))
     )
-    within = readings.withColumn("next_t", F.lead("t").over(W.partitionBy("k", "chunk").orderBy("t")))
-    firsts = (
-        readings.groupBy("k", "chunk")
-        .agg(F.min("t").alias("first_t"))
-        .withColumn("after_t", F.lead("first_t").over(W.partitionBy("k").orderBy("chunk")))
-        .select("k", "chunk", "after_t")
-    )
-    steps = within.join(firsts, ["k", "chunk"]).select("k", "t", "v", F.coalesce("next_t", "after_t").alias("next_t"))
+    readings = raw.groupBy("k", "chunk", "t").agg(F.max("v").alias("v"))
+    within = readings.withColumn("next_t", F.lead("t").over(W.partitionBy("k", "chunk").orderBy("t"))).where("next_t is not null").select("k", "t", "v", "next_t")
+    # a chunk's first and last reading, reduced where they are read: a row per chunk is all that moves
+    ends = raw.groupBy("k", "chunk").agg(F.min("t").alias("first_t"), F.max("t").alias("t"), F.max_by("v", F.struct("t", "v")).alias("v"))
+    over = ends.select("k", "t", "v", F.lead("first_t").over(W.partitionBy("k").orderBy("chunk")).alias("next_t"))
+    steps = within.unionByName(over)
 
     measured_end = F.least(F.col("t") + span, F.col("next_t"))  # least ignores null: the last reading has no next
     hold_end = F.col("next_t")  # nothing is held after the last reading
