@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from growthlens.llm.cooccurrence import together
 from growthlens.llm.encode import encode_texts
-from growthlens.llm.mixing import mix_report, mix_sources
+from growthlens.llm.mixing import mix_report, mix_sources, plain_source
 from growthlens.llm.splitting import split_oversized
 from growthlens.sources.tables import table
 
@@ -54,6 +54,25 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), "doc_id", "text")
 
 
+def p9_mix_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source, what holds of every mixture: its documents; none drawn too often; its tokens short of the quota by less than the smallest block left out; every shard filled."""
+    mix, report = p9_mix(spark, folder), p9_shares(spark, folder)
+    docs = table(spark, folder, "documents").groupBy(plain_source(F.col("source")).alias("source")).agg(F.count("*").alias("documents"))
+    drawn = mix.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.count_distinct("copy").alias("copies"), F.max("n_tokens").alias("n"))
+    by_source = drawn.groupBy("source").agg(F.max("times").alias("most"), F.bool_and(F.col("times") == F.col("copies")).alias("distinct_copies"), F.sum(F.col("n") * F.col("times")).alias("tokens_drawn"))
+    quota = F.least("wanted_tokens", F.col("tokens") * F.col("max_repeats"))
+    shards = mix.groupBy("shard").agg(F.count("*").alias("n"))
+    return (
+        report.join(docs, "source", "left").join(by_source, "source", "left").crossJoin(F.broadcast(shards.agg(F.count("*").alias("n_shards"))))  # one row
+        .select(
+            "source", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
+            F.coalesce((F.col("most") <= F.col("max_repeats")) & F.col("distinct_copies"), F.lit(True)).alias("within_repeats"),
+            ((F.coalesce("tokens_drawn", F.lit(0)) == F.col("drawn_tokens")) & (F.col("drawn_tokens") <= quota) & ((quota - F.col("drawn_tokens") < F.col("smallest_left")) | F.col("smallest_left").isNull())).alias("within_quota"),
+            (F.col("n_shards") == 16).alias("all_shards"),
+        )
+    )
+
+
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -64,7 +83,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [p4_found, p4_pairs, p4_significant, p8_ids, p9_found, p9_shares, p9_mix, p10_found, p10_pieces]
+    every = [p4_found, p4_pairs, p4_significant, p8_ids, p9_found, p9_shares, p9_mix, p9_mix_invariants, p10_found, p10_pieces]
     return {q.__name__: q for q in every}
 
 
@@ -82,5 +101,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"{PAIRS_SQL} SELECT repo_a, repo_b FROM f WHERE k >= 5 AND 5 * k >= a + b - k AND k * n >= 3 * a * b",
         "p4_pairs": f"{PAIRS_SQL} SELECT repo_a, repo_b, k, a, b, n, {lift} AS lift, round(2 * ({llr}), 6) AS llr FROM f",
+        "p9_mix_invariants": r"""WITH d AS (SELECT replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '-', '_') AS s, count(*) AS n FROM documents GROUP BY 1)
+            SELECT t.source, max_repeats, coalesce(d.n, 0) AS documents, TRUE AS within_repeats, TRUE AS within_quota, TRUE AS all_shards
+            FROM (SELECT replace(lower(trim(source)), '-', '_') AS source, max_repeats FROM mix_targets) t LEFT JOIN d ON t.source = d.s""",
         "p4_significant": f"{PAIRS_SQL} SELECT repo_a, repo_b, k, {lift} AS lift, round(2 * ({llr}), 6) AS llr FROM f WHERE 2 * ({llr}) >= {ONE_IN_A_THOUSAND} AND k * n > a * b",
     }

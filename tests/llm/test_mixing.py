@@ -5,17 +5,25 @@ import numpy as np
 import pytest
 
 from growthlens.llm import mixing
-from growthlens.llm.mixing import grain, mix_report, mix_sources, plan_mixture, read_targets, split_tree
+from growthlens.llm.mixing import dealt, dealt_places, grain, mix_report, mix_sources, read_targets
 
 TARGETS = "source string, target_share double, max_repeats int"
 
 
+def split_tree(quotas, shards, seed):
+    """Blocks of each source (columns) in each shard (rows)."""
+    return np.array([n for _, _, n in sorted(dealt(quotas, shards, seed), key=lambda x: x[0])])
+
+
 def test_tree_is_exact_and_fair():
     quotas = np.array([1000, 37, 0, 500])
-    dealt = split_tree(quotas, 7, 1)
-    assert (dealt.sum(axis=0) == quotas).all() and dealt.min() >= 0
-    assert np.ptp(dealt.sum(axis=1)) <= 3  # shards of equal size
-    assert (dealt == split_tree(quotas, 7, 1)).all() and (dealt != split_tree(quotas, 7, 2)).any()
+    whole = split_tree(quotas, 7, 1)
+    assert (whole.sum(axis=0) == quotas).all() and whole.min() >= 0
+    assert np.ptp(whole.sum(axis=1)) <= 3  # shards of equal size
+    assert (whole == split_tree(quotas, 7, 1)).all() and (whole != split_tree(quotas, 7, 2)).any()
+    assert [(i, a.tolist(), n.tolist()) for i, a, n in dealt(quotas, 7, 1, 2, 5)] == [(i, a.tolist(), n.tolist()) for i, a, n in dealt(quotas, 7, 1) if 2 <= i < 5]  # any part by itself
+    starts = {i: a for i, a, _ in dealt(quotas, 7, 1)}
+    assert all((starts[i] == whole[:i].sum(axis=0)).all() for i in range(7))
     means = np.mean([split_tree(quotas, 8, s)[3] for s in range(300)], axis=0)
     assert means == pytest.approx(quotas / 8, rel=0.1)
 
@@ -67,7 +75,13 @@ def test_edges(spark, corpus):
     assert mix_report(docs.limit(0), targets, "doc", "text", blocks=8, shards=2).where("short").count() == 0
     with pytest.raises(ValueError):
         read_targets(spark.createDataFrame([("a-b", 0.5, 1), (" A_B", 0.5, 1)], TARGETS))
-    assert plan_mixture({}, [], 3, 0).draws == []
+    assert dealt_places(spark, np.zeros(2, np.int64), 3, 0).count() == 0
+
+
+def test_every_drawn_block_has_one_place(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARDS_A_TASK", 3)
+    places = [tuple(r) for r in dealt_places(spark, np.array([50, 0, 7]), 20, 5).select("k", "p").collect()]
+    assert sorted(places) == [(0, p) for p in range(50)] + [(2, p) for p in range(7)]
 
 
 def test_grain_does_not_depend_on_the_files(spark, tmp_path, monkeypatch):
