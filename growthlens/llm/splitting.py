@@ -18,6 +18,8 @@ PARAGRAPH, LINE, SENTENCE, WORD, INNER, SPLIT_CHAR = "PLSWCX"
 ENDS, ENDS_ANYWHERE = ".!?;:…", "。！？；।؟"
 #: Tokens that a character may take beyond its first; a piece may start so much before its overlap.
 CHAR_TOKENS = 3
+#: Pieces over which sums are run at a time.
+STRETCH = 512
 
 
 def piece_pattern(limit: int, overlap: int) -> str:
@@ -131,7 +133,16 @@ def split_oversized(
     marked = long.mapInArrow(run, f"{named(df, [key])}, __kinds string, __parts array<string>, __safe array<int>, __chars array<int>")
 
     added = F.transform(F.regexp_extract_all("__kinds", F.lit(piece_pattern(limit, overlap)), F.lit(0)), F.length)
-    ends = F.aggregate("__added", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def sums_before(items: Column) -> Column:
+        """For each item, and the end, the sum of the items before."""
+        return F.aggregate(items, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    # appending copies the array, so sums are run over stretches, then over these: no array grows with the text's square
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size("__added") - 1) / STRETCH).cast("int")), lambda k: F.slice("__added", k * STRETCH + 1, STRETCH))
+    own_sums = F.transform("__stretches", sums_before)
+    bases = sums_before(F.transform("__sums", lambda x: F.element_at(x, -1)))
+    ends = F.flatten(F.transform("__sums", lambda x, k: F.transform(F.slice(x, 1, F.size(x) - 1), lambda y: y + F.get("__bases", k))))
 
     def piece(i: Column) -> Column:
         """The i-th piece of a text: a stretch of its parts."""
@@ -147,6 +158,6 @@ def split_oversized(
             F.array_join(F.slice("__parts", start + 1, before + new - start), "").alias("piece"),
         )
 
-    cut = marked.withColumn("__added", added).withColumn("__ends", ends)
+    cut = marked.withColumn("__added", added).withColumn("__stretches", stretches).withColumn("__sums", own_sums).withColumn("__bases", bases).withColumn("__ends", ends)
     pieces = F.transform(F.sequence(F.lit(0), F.size("__added") - 1), piece)
     return cut.select(key, F.explode(pieces).alias("__piece")).select(key, "__piece.*")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from growthlens.llm import splitting
 from growthlens.llm.encode import tokenizer_path
 from growthlens.llm.splitting import split_oversized
 
@@ -62,6 +63,15 @@ def test_cuts_are_natural(spark):
     assert all(data[4][len(t)] == " " or t.endswith(" ") for t in ends[4]) and all(t.endswith("。") for t in ends[6])
 
 
+def test_stretches_do_not_matter(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(texts())), "id int, text string")
+    of = lambda: sorted(tuple(r) for r in split_oversized(df, "id", "text", 40, 5).select("id", "piece_no", "start_char", "end_char", "n_tokens").collect())
+    one = of()
+    for stretch in (1, 3):
+        monkeypatch.setattr(splitting, "STRETCH", stretch)
+        assert of() == one
+
+
 def test_empty_repeated_refused(spark):
     df = spark.createDataFrame([(1, "word " * 300)] * 2 + [(None, "word " * 300)], "id int, text string")
     assert split_oversized(df, "id", "text", 200, 20).count() == 3 * split_oversized(df.where("id is null"), "id", "text", 200, 20).count()
