@@ -18,10 +18,36 @@ TOPIC_KEYWORDS = {
 }
 
 
+#: A text literal: prefix, then single, double or tripled quotes with escapes. Loops are possessive: they need no stack for long texts.
+TEXT = r"""(?:[uUrR]?(?:\'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|"{3}(?:[^"\\]|\\.|"(?!""))*+"{3}|'(?!'')(?:[^'\\\n]|\\.)*+'|"(?!"")(?:[^"\\\n]|\\.)*+"))"""
+#: An element of a list literal: adjacent texts, which are one, or a number or constant.
+ELEMENT = rf"(?:{TEXT}(?:\s*+{TEXT})*+|[+-]?\d[\d_]*+(?:\.\d*+)?(?:[eE][+-]?\d++)?|None|True|False)"
+LIST = rf"(?s)^\[\s*+(?:{ELEMENT}(?:\s*+,\s*+{ELEMENT})*+\s*+,?+\s*+)?+\]$"
+
+
 def as_list(text: Column) -> Column:
-    """Elements of a list literal such as ``['a', "b"]``; null for anything else."""
+    """Elements, as texts, of a list literal such as ``['a', "b",]``; null for anything else.
+
+    Understood are texts with their quotes, escapes, prefixes and adjacent parts, numbers and
+    constants; lists within lists are not, and count as no literal.
+    """
     trimmed = strip(text)
-    return F.when(trimmed.startswith("[") & trimmed.endswith("]"), F.from_json(trimmed, "array<string>", {"mode": "PERMISSIVE"}))
+
+    def body(literal: Column) -> Column:
+        """What a text literal says."""
+        raw = F.regexp_like(literal, F.lit("^[rR]"))
+        quoted = F.regexp_replace(literal, "^[uUrR]", "")
+        inner = F.regexp_replace(quoted, r"(?s)^(?:\'{3}|\"{3}|'|\")(.*?)(?:\'{3}|\"{3}|'|\")$", "$1")
+        plain = inner
+        for escape, meaning in ((r"\\\n", ""), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\(['\"])", "$1"), (r"\\\\", r"\\")):
+            plain = F.regexp_replace(plain, escape, meaning)
+        return F.when(raw, inner).otherwise(plain)
+
+    def said(element: Column) -> Column:
+        texts = F.regexp_extract_all(element, F.lit("(?s)" + TEXT), F.lit(0))
+        return F.when(F.regexp_like(element, F.lit("""^[uUrR]?['"]""")), F.array_join(F.transform(texts, body), "")).otherwise(element)
+
+    return F.when(F.regexp_like(trimmed, F.lit(LIST)), F.transform(F.regexp_extract_all(trimmed, F.lit("(?s)" + ELEMENT), F.lit(0)), said))
 
 
 def parts_of(text: Column, delimiter: str) -> Column:
@@ -44,7 +70,7 @@ def topic_count(text: Column, delimiter: str = ",") -> Column:
     trimmed = strip(text)
     count = (
         F.when(text.isNull() | (trimmed == "") | (trimmed == "[]"), 0)
-        .when(as_list(text).isNotNull(), F.size(as_list(text)))
+        .when(F.regexp_like(trimmed, F.lit(LIST)), F.size(F.regexp_extract_all(trimmed, F.lit("(?s)" + ELEMENT), F.lit(0))))
         .when(F.contains(trimmed, F.lit(delimiter)), F.size(parts_of(trimmed, delimiter)))
         .otherwise(1)
     )

@@ -28,8 +28,8 @@ def number_or(value: Column, default: float) -> Column:
 
 
 def whole_or(value: Column, default: int) -> Column:
-    """Whole number; null or unreadable gives the default."""
-    return F.coalesce(to_number(value), F.lit(float(default))).cast("int")
+    """Whole number of 64 bits, fractions cut off; null, unreadable, endless or too large gives the default."""
+    return F.coalesce(value.try_cast("bigint"), to_number(value).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def text_or(value: Column, default: str) -> Column:

@@ -1,3 +1,4 @@
+import ast
 import datetime as dt
 
 import pytest
@@ -20,6 +21,30 @@ def test_topic_count(spark):
     assert of(spark, ["a|b|c", "a,b"], "string", topic_count(F.col("x"), "|")) == [3, 1]
 
 
+LITERALS = [
+    "['a',]", "['a' 'b']", "['a', \"b\" , 'c d']", "[ 'x,y' ]", "[u'a', r'b']", "['it\\'s', 'a\\tb']", "[1, 2.5, None, True]", "['']", "[,]", "['a' b]", "['a'", "['a'] x", "[a, b]", "['a',,]", "[\"a\"\"b\"]",
+    "[\'\'\'a\'b\'\'\', 'c']", "['a\\\\', 'b']", "('a', 'b')", "['é', '漢字']",
+]
+
+
+@pytest.mark.parametrize("text", LITERALS)
+def test_list_literals(spark, text):
+    """As a Python literal where it is a list, else by commas."""
+    try:
+        parsed = ast.literal_eval(text)
+    except (ValueError, SyntaxError):
+        parsed = None
+    parts = [x.strip() for x in text.split(",") if x.strip()]
+    count = len(parsed) if isinstance(parsed, list) else len(parts) if "," in text else 1
+    items = [str(x).lower() for x in parsed] if isinstance(parsed, list) else [x.lower() for x in parts]
+    assert of(spark, [text], "string", topic_count(F.col("x")), topic_list(F.col("x"))) == [(count, items)]
+
+
+def test_long_list_literal(spark):
+    text = "[" + ", ".join(f"'topic {i}'" for i in range(60_000)) + "]"
+    assert of(spark, [text], "string", topic_count(F.col("x"))) == [60_000]
+
+
 def test_topic_list_and_flags(spark):
     assert of(spark, ["['A','b']", "X, ,y", None, "[]"], "string", topic_list(F.col("x"))) == [["a", "b"], ["x", "y"], [], []]
     flags = topic_flags(F.col("x"))
@@ -40,7 +65,8 @@ def test_text(spark):
 
 def test_numbers(spark):
     assert of(spark, ["1.5", "x", None, "NaN"], "string", to_number(F.col("x"))) == [1.5, None, None, None]
-    assert of(spark, ["7", "x", None], "string", whole_or(F.col("x"), 1)) == [7, 1, 1]
+    assert of(spark, ["7", "x", None, "3000000000", "2.7", "-2.7", "inf", "1e30", "9007199254740993"], "string", whole_or(F.col("x"), 1)) == [7, 1, 1, 3_000_000_000, 2, -2, 1, 1, 9007199254740993]
+    assert of(spark, [3e9, float("inf"), float("nan"), None, 1e300], "double", whole_or(F.col("x"), 0)) == [3_000_000_000, 0, 0, 0, 0]
     assert of(spark, [0.125, 0.135, 2.5], "double", half_even(F.col("x"))) == [0.12, 0.14, 2.5]
     assert of(spark, [0.0, 5.0], "double", percent(F.col("x"), F.lit(0)), per(F.col("x"), F.lit(4))) == [(None, 0.0), (None, 1.0)]
 
