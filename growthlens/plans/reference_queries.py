@@ -23,25 +23,19 @@ from growthlens.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: Moves a value off the middle between two numbers of eleven digits, where engines round differently.
-NUDGE = 1.0000000000003
+def even(x: Column, digits: int) -> Column:
+    """A computed double at a fixed number of decimals: engines add doubles in different orders."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
 
 
-def sig(x: Column) -> Column:
-    """Eleven significant digits: engines add doubles in different orders."""
-    return F.when(x.isNotNull(), F.format_string("%.10e", x.cast("double") * NUDGE).cast("double"))
+def even_sql(x: str, digits: int) -> str:
+    return f"(round_even(({x}) * {10.0**digits}::DOUBLE, 0) / {10.0**digits}::DOUBLE)"
 
 
-def sig_sql(x: str) -> str:
-    return f"CASE WHEN ({x}) IS NOT NULL THEN CAST(format('{{:.10e}}', CAST(({x}) AS DOUBLE) * {NUDGE}::DOUBLE) AS DOUBLE) END"
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    """All doubles to eleven significant digits, moments without zone."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    double = {c: sig(F.col(f"`{c}`")) for c, k in kinds.items() if isinstance(k, T.DoubleType)}
-    moments = {c: F.col(f"`{c}`").cast("timestamp_ntz") for c, k in kinds.items() if isinstance(k, T.TimestampType)}
-    return df.withColumns(double | moments) if double or moments else df
+def unzoned(df: DataFrame) -> DataFrame:
+    """Moments without zone; all else as it is."""
+    moments = {f.name: F.col(f"`{f.name}`").cast("timestamp_ntz") for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)}
+    return df.withColumns(moments) if moments else df
 
 
 def sql_of(title: str) -> Query:
@@ -49,18 +43,18 @@ def sql_of(title: str) -> Query:
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         read_tables(spark, folder, [n for n in TABLES if re.search(rf"\b{n}\b", text)])
-        return rounded(run_sql(spark, text))
+        return unzoned(run_sql(spark, text))
 
     return query
 
 
 def on(name: str, plan: Callable[[DataFrame], DataFrame]) -> Query:
     """A query of one table."""
-    return lambda spark, folder: rounded(plan(table(spark, folder, name)))
+    return lambda spark, folder: unzoned(plan(table(spark, folder, name)))
 
 
 def with_all(plan: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
-    return lambda spark, folder: rounded(plan({n: table(spark, folder, n) for n in TABLES}))
+    return lambda spark, folder: unzoned(plan({n: table(spark, folder, n) for n in TABLES}))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -102,7 +96,7 @@ def long_form(df: DataFrame, prefixes: tuple[str, ...] = ()) -> DataFrame:
 def hot_shares(df: DataFrame) -> DataFrame:
     """Rows per repository as a share of all, where single keys hold much."""
     totals = key_totals(df, ["repo_id"])
-    return totals.where("key_value is not null").select(F.col("key_value").cast("bigint").alias("repo_id"), "n_rows", percent(F.col("n_rows"), F.lit(df.count())).alias("share"))
+    return totals.where("key_value is not null").select(F.col("key_value").cast("bigint").alias("repo_id"), "n_rows", percent(F.col("n_rows"), df.agg(F.count(F.lit(1)).alias("n")).scalar()).alias("share"))
 
 
 def grouped_categories(df: DataFrame) -> DataFrame:
@@ -119,15 +113,22 @@ def target(df: DataFrame) -> DataFrame:
     return derive.growth_target(derive.early_later(derive.derive_weekly(df)))
 
 
+def described_numbers(df: DataFrame) -> DataFrame:
+    """Mean and deviation, which are computed, at fixed decimals; the other statistics are values of the column or between two."""
+    found = profile.describe_numeric(df)
+    of = lambda x: F.when(F.col("column").rlike(FRACTIONS.pattern), even(F.col(x), 6)).otherwise(even(F.col(x), 2))
+    return found.withColumns({x: of(x) for x in ("mean", "std")})
+
+
 def scaled_series(df: DataFrame) -> DataFrame:
     numbers = clean.clean_herd(df)
-    return features.Scaler.fit(numbers, ["early_4week_stars", "later_stars"]).transform(numbers).select("repo_id", "early_4week_stars", "later_stars")
+    return features.Scaler.fit(numbers, ["early_4week_stars", "later_stars"]).transform(numbers).select("repo_id", *(even(F.col(c), 6).alias(c) for c in ("early_4week_stars", "later_stars")))
 
 
 def queries() -> dict[str, Query]:
     herd_clean = lambda df: features.herd_features(clean.clean_herd(df))
     of_all = lambda tables: clean.clean_all(tables)
-    described = {f"describe_{n}": on(n, profile.describe_numeric) for n in TABLES}
+    described = {f"describe_{n}": on(n, described_numbers) for n in TABLES}
     cleaned = {f"clean_{n}": on(n, clean.CLEANERS[n]) for n in TABLES}
     return {
         "count_repositories": sql_of("Total Repositories"),
@@ -148,8 +149,7 @@ def queries() -> dict[str, Query]:
         "null_profile": with_all(profile.null_profile),
         "null_profile_missing": with_all(lambda t: profile.null_profile(t).where("missing_count > 0")),
         "null_totals": with_all(profile.null_totals),
-        "null_totals_cleaned": with_all(lambda t: profile.null_totals({n: of_all(t)[n] for n in ("daily_timeseries", "weekly_timeseries", "herd_modeling")})),
-        "null_totals_cleaned_all": with_all(lambda t: profile.null_totals(of_all(t))),
+        "null_totals_cleaned": with_all(lambda t: profile.null_totals(of_all(t))),
         **described,
         "scalar_stats": on("repositories", lambda df: reduce(DataFrame.unionByName, [profile.scalar_stats(df, c).withColumn("column", F.lit(c)) for c in ("stars_count", "forks_count")])),
         "histogram50": on("repositories", lambda df: profile.histogram(df, "stars_count").select("bin", "n")),
@@ -175,19 +175,21 @@ def queries() -> dict[str, Query]:
         "growth_target": on("stars", target),
         "weekly_features": on("weekly_timeseries", lambda df: features.weekly_features(clean.clean_weekly(df)).select("repo_id", "week_start", "weekly_new_stars", "cumulative_stars", "lag_1_week_stars", "lag_2_week_stars", "rolling_3week_mean_stars", "rolling_4week_sum_stars", "weekly_growth_acceleration", "cumulative_growth_lag_1")),
         "interaction_counts": on("user_repo_interactions", features.interaction_counts),
-        "recommendation_features": lambda spark, folder: rounded(features.recommendation_features(clean.clean_interactions(table(spark, folder, "user_repo_interactions")), clean.clean_repositories(table(spark, folder, "repositories")))),
+        "recommendation_features": lambda spark, folder: unzoned(features.recommendation_features(clean.clean_interactions(table(spark, folder, "user_repo_interactions")), clean.clean_repositories(table(spark, folder, "repositories")))),
         "repository_features": on("repositories", lambda df: features.add_topic_flags(clean.clean_repositories(df))),
         "herd_features": on("herd_modeling", herd_clean),
         "hot_key_shares": on("stars", hot_shares),
         "rare_category_group": on("herd_modeling", grouped_categories),
         "one_hot": on("herd_modeling", hot),
         "standard_scale": on("herd_modeling", scaled_series),
-        "model_ready": on("herd_modeling", lambda df: long_form(features.model_ready(herd_clean(df)))),
+        "model_ready": on("herd_modeling", lambda df: long_form(features.model_ready(herd_clean(df))).withColumn("value", even(F.col("value"), 6))),
     }
 
 
 # --- SQL ---------------------------------------------------------------------------------------
 
+#: Columns of fractions, whose computed statistics have six decimals; those of counts and ids have two.
+FRACTIONS = re.compile("rate|avg")
 NUMERIC = ("bigint", "int", "double", "boolean")
 
 
@@ -205,15 +207,16 @@ def describe_sql(name: str) -> str:
         endless = f"bool_or(isinf(CAST({c} AS DOUBLE)))"
         finite = f"CASE WHEN NOT isinf(CAST({c} AS DOUBLE)) THEN {x} END"
         mean = f"CASE WHEN {endless} THEN CASE WHEN max({x}) = 'inf' AND min({x}) = '-inf' THEN 'nan' WHEN max({x}) = 'inf' THEN 'inf' ELSE '-inf' END::DOUBLE ELSE avg({finite}) END"
+        digits = 6 if FRACTIONS.search(c) else 2
         std = f"CASE WHEN {endless} THEN 'nan'::DOUBLE ELSE stddev_samp({finite}) END"
         numbers = {"mean": mean, "std": std, "min": f"min({x})", "p25": f"quantile_cont({x}, 0.25)", "p50": f"quantile_cont({x}, 0.5)", "p75": f"quantile_cont({x}, 0.75)", "max": f"max({x})"}
-        return f"SELECT '{c}' AS \"column\", count({x}) AS \"count\", " + ", ".join(f"{sig_sql(e)} AS \"{k}\"" for k, e in numbers.items()) + f" FROM {name}"
+        return f"SELECT '{c}' AS \"column\", count({x}) AS \"count\", " + ", ".join(f"{even_sql(e, digits) if k in ('mean', 'std') else e} AS \"{k}\"" for k, e in numbers.items()) + f" FROM {name}"
 
     return " UNION ALL ".join(map(one, numeric_names(name)))
 
 
 def nulls_sql(where: str = "") -> str:
-    one = lambda n, c: f"SELECT '{n}' AS \"table\", '{c}' AS \"column\", count(*) - count({c}) AS missing_count, {sig_sql(f'round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2)')} AS missing_percent FROM {n}"
+    one = lambda n, c: f"SELECT '{n}' AS \"table\", '{c}' AS \"column\", count(*) - count({c}) AS missing_count, {f'round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2)'} AS missing_percent FROM {n}"
     body = " UNION ALL ".join(one(n, c) for n in TABLES for c in all_names(n))
     return f"SELECT * FROM ({body}) {where}"
 
@@ -260,11 +263,11 @@ REPOSITORIES = f"""base AS (SELECT * REPLACE ({FILLED.format(c='language', d='Un
         {or_median('age', 'base')} AS repo_age_days, {or_median('since_update', 'base')} AS days_since_update, {or_median('since_push', 'base')} AS days_since_push,
         {or_median('text_length', 'base')} AS description_length, {or_median('n_topics', 'base')} AS topic_count,
         CAST(year(created_at) AS INT) AS created_year, CAST(month(created_at) AS INT) AS created_month, CAST(isodow(created_at) - 1 AS INT) AS created_weekday FROM base),
-    repos AS (SELECT *, {sig_sql('stars_count / (repo_age_days + 1)')} AS stars_per_day, {sig_sql('forks_count / (stars_count + 1)')} AS forks_per_star, {sig_sql('open_issues_count / (stars_count + 1)')} AS issues_per_star FROM imputed)"""
+    repos AS (SELECT *, stars_count / (repo_age_days + 1) AS stars_per_day, forks_count / (stars_count + 1) AS forks_per_star, open_issues_count / (stars_count + 1) AS issues_per_star FROM imputed)"""
 
 HERD_MEDIANS = [c for c in clean.HERD_NUMBERS if c not in ("topic_count", "later_max_weekly_stars")]
 HERD = f"""base AS (SELECT * REPLACE ({FILLED.format(c='language', d='Unknown')} AS language, {FILLED.format(c='license', d='No License')} AS license, coalesce(topics, '[]') AS topics,
-        coalesce(became_high_growth, 0) AS became_high_growth), {count_sql("coalesce(topics, '[]')")} AS n_topics FROM herd_modeling),
+        CAST(coalesce(became_high_growth, 0) AS BIGINT) AS became_high_growth), {count_sql("coalesce(topics, '[]')")} AS n_topics FROM herd_modeling),
     herd AS (SELECT * EXCLUDE (n_topics) REPLACE ({', '.join(f"{or_median(c, 'base')} AS {c}" for c in HERD_MEDIANS)}), {or_median('n_topics', 'base')} AS topic_count FROM base),
     rated AS (SELECT *, {flags_sql('topics')}, early_4week_stars / (stars_count + 1) AS early_to_total_star_ratio, early_max_weekly_stars / (early_avg_weekly_stars + 1) AS early_peak_to_average_ratio,
         forks_count / (stars_count + 1) AS forks_per_star, open_issues_count / (stars_count + 1) AS issues_per_star FROM herd),
@@ -284,8 +287,8 @@ DERIVED = """weeks AS (SELECT repo_id, CAST(date_trunc('week', CAST(starred_at A
         CAST(coalesce(sum(weekly_new_stars) FILTER (n > 4), 0) AS BIGINT) AS later_stars, coalesce(avg(weekly_new_stars) FILTER (n > 4), 0.0) AS later_avg_weekly_stars FROM series GROUP BY 1)"""
 
 
-def double_columns(sql_table: str, doubles: list[str], ctes: str) -> str:
-    return f"WITH {ctes} SELECT * REPLACE ({', '.join(f'{sig_sql(c)} AS {c}' for c in doubles)}) FROM {sql_table}"
+def all_of(sql_table: str, ctes: str) -> str:
+    return f"WITH {ctes} SELECT * FROM {sql_table}"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -293,22 +296,19 @@ def oracle_sql() -> dict[str, str]:
         "count_repositories": "Total Repositories", "count_stars": "Total Star Interactions", "count_distinct_users": "Total Unique Users", "top_categories_coalesced": "Top 10 Programming Languages",
         "top_entities_by_measure": "Top 10 Repositories by GitHub Star Count", "top_entities_by_events": "Top 10 Repositories by Collected Stargazer Interactions", "class_balance": "Herd Modeling Class Balance",
     }.items()}
-    means = lambda digits: ", ".join(sig_sql(f"round_even(avg({c}), 2)" if digits else f"avg({c})") + f" AS avg_{c}" for c in ("early_4week_stars", "later_stars"))
+    means = lambda digits: ", ".join((f"round_even(avg({c}), 2)" if digits else f"avg({c})") + f" AS avg_{c}" for c in ("early_4week_stars", "later_stars"))
     weekly_order = "PARTITION BY repo_id ORDER BY week_start, cumulative_stars, weekly_new_stars, repo_full_name NULLS FIRST, week, previous_week_stars, weekly_growth_rate, herd_momentum_score"
     stars_repo_counts = """user_n AS (SELECT user_id, count(*) AS n FROM user_repo_interactions WHERE user_id IS NOT NULL GROUP BY 1), repo_n AS (SELECT repo_id, count(*) AS n FROM user_repo_interactions WHERE repo_id IS NOT NULL GROUP BY 1)"""
     model = f"""WITH {HERD}, hot AS ({HOT}),
         long AS ({' UNION ALL '.join(f"SELECT repo_id, '{c}' AS feature, {number_sql(c)} AS value FROM grouped" for c in PREDICTORS)} UNION ALL SELECT repo_id, feature, CAST(value AS DOUBLE) FROM hot),
         fitted AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM long GROUP BY 1)
-        SELECT l.repo_id, l.feature, {sig_sql('CASE WHEN f.s = 0 THEN 0.0 ELSE (l.value - f.m) / f.s END')} AS value FROM long l JOIN fitted f ON l.feature = f.feature
+        SELECT l.repo_id, l.feature, {even_sql('CASE WHEN f.s = 0 THEN 0.0 ELSE (l.value - f.m) / f.s END', 6)} AS value FROM long l JOIN fitted f ON l.feature = f.feature
         UNION ALL SELECT repo_id, 'became_high_growth', CAST(became_high_growth AS DOUBLE) FROM grouped"""
-    repo_doubles = [*clean.REPOSITORY_NUMBERS]
-    herd_doubles = [*HERD_MEDIANS, "topic_count"]
-    interactions = "SELECT * REPLACE (coalesce(username, 'unknown_user') AS username, coalesce(interaction, 1) AS interaction) FROM user_repo_interactions"
-    daily = ", ".join(f"{sig_sql(number_sql(c))} AS {c}" for c in ("daily_new_stars", "cumulative_stars", "daily_growth_rate"))
-    cleaned_nulls = lambda source, columns: " + ".join(f"(count(*) - count({c}))" for c in columns) + f" AS total_missing_values FROM {source}"
+    interactions = "SELECT * REPLACE (coalesce(username, 'unknown_user') AS username, CAST(coalesce(interaction, 1) AS BIGINT) AS interaction) FROM user_repo_interactions"
+    daily = ", ".join(f"{number_sql(c)} AS {c}" for c in ("daily_new_stars", "cumulative_stars", "daily_growth_rate"))
     texts = report | {
         "class_means_sql": f"SELECT became_high_growth, {means(False)} FROM herd_modeling GROUP BY 1",
-        "weekly_sample": f"SELECT * REPLACE ({sig_sql('herd_momentum_score')} AS herd_momentum_score) FROM ({REPORT['Weekly Time-Series Example']})",
+        "weekly_sample": REPORT["Weekly Time-Series Example"],
         "top5_categories_nullable": TOP_LANGUAGES,
         "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_rows, {len(all_names(n))} AS n_columns FROM {n}" for n in TABLES),
         "top_by_label": "SELECT repo_full_name, count(*) AS n FROM stars WHERE repo_full_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
@@ -318,11 +318,8 @@ def oracle_sql() -> dict[str, str]:
         "null_profile": nulls_sql(),
         "null_profile_missing": nulls_sql("WHERE missing_count > 0"),
         "null_totals": f"SELECT \"table\", CAST(sum(missing_count) AS BIGINT) AS total_missing_values FROM ({nulls_sql()}) GROUP BY 1",
-        "null_totals_cleaned": f"""WITH {HERD}, {WEEKLY} SELECT 'daily_timeseries' AS "table", {cleaned_nulls('daily_timeseries', ('repo_id', 'repo_full_name', 'date'))}
-            UNION ALL SELECT 'weekly_timeseries', {cleaned_nulls('weekly', ('repo_id', 'repo_full_name', 'week', 'week_start'))}
-            UNION ALL SELECT 'herd_modeling', {cleaned_nulls('herd', (*all_names('herd_modeling'), 'topic_count'))}""",
         **{f"describe_{n}": describe_sql(n) for n in TABLES},
-        "scalar_stats": " UNION ALL ".join(f"SELECT min({c})::DOUBLE AS minimum, max({c})::DOUBLE AS maximum, {sig_sql(f'avg({c})')} AS mean, {sig_sql(f'median({c})')} AS median, '{c}' AS \"column\" FROM repositories" for c in ("stars_count", "forks_count")),
+        "scalar_stats": " UNION ALL ".join(f"SELECT min({c})::DOUBLE AS minimum, max({c})::DOUBLE AS maximum, {f'avg({c})'} AS mean, {f'median({c})'} AS median, '{c}' AS \"column\" FROM repositories" for c in ("stars_count", "forks_count")),
         "histogram50": """WITH r AS (SELECT min(stars_count)::DOUBLE AS lo, (max(stars_count) - min(stars_count))::DOUBLE / 50 AS w FROM repositories),
             c AS (SELECT CAST(least(floor((stars_count - lo) / w), 49) AS INT) AS bin, count(*) AS n FROM repositories, r WHERE stars_count IS NOT NULL GROUP BY 1)
             SELECT CAST(b.bin AS INT) AS bin, coalesce(c.n, 0) AS n FROM range(50) b(bin) LEFT JOIN c ON b.bin = c.bin""",
@@ -332,7 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "dropna_subset": f"SELECT repo_id, week_start, CAST(weekly_new_stars AS DOUBLE) AS weekly_new_stars FROM {WEEK} WHERE week_start IS NOT NULL AND weekly_new_stars IS NOT NULL",
         "week_start_parse": f"SELECT repo_id, week, week_start FROM {WEEK}",
         "timestamp_coerce": f"SELECT repo_id, CAST(week_start AS TIMESTAMP) AS moment FROM {WEEK} WHERE week_start IS NOT NULL",
-        "numeric_coerce": f"""SELECT repo_id, x AS number, CAST(coalesce(x, 1) AS INT) AS whole, {number_sql('previous_week_stars')} AS previous_week_stars FROM
+        "numeric_coerce": f"""SELECT repo_id, x AS number, CAST(coalesce(x, 1) AS BIGINT) AS whole, {number_sql('previous_week_stars')} AS previous_week_stars FROM
             (SELECT *, CASE WHEN repo_id % 3 = 0 THEN NULL ELSE CAST(weekly_new_stars AS DOUBLE) END AS x FROM weekly_timeseries)""",
         "age_days": f"SELECT repo_id, {AGE.format(c='created_at')} AS repo_age_days, {AGE.format(c='updated_at')} AS days_since_update, {AGE.format(c='pushed_at')} AS days_since_push FROM repositories",
         "calendar_parts": "SELECT repo_id, CAST(year(created_at) AS INT) AS created_year, CAST(month(created_at) AS INT) AS created_month, CAST(isodow(created_at) - 1 AS INT) AS created_weekday FROM repositories",
@@ -344,35 +341,35 @@ def oracle_sql() -> dict[str, str]:
             ELSE list_filter(list_transform(string_split(topics, ','), lambda x: lower(trim(x, {BLANKS}))), lambda x: x <> '') END) AS topic FROM repositories WHERE topics IS NOT NULL AND trim(topics, {BLANKS}) NOT IN ('', '[]')""",
         "topic_flags": f"SELECT repo_id, {flags_sql('topics')} FROM repositories",
         "median_impute": f"SELECT repo_id, {', '.join(f'{or_median(c, 'herd_modeling')} AS {c}' for c in ('stars_count', 'early_avg_weekly_stars', 'later_stars'))} FROM herd_modeling",
-        "ratio_features": f"WITH {HERD} SELECT repo_id, {', '.join(f'{sig_sql(c)} AS {c}' for c in ('early_to_total_star_ratio', 'early_peak_to_average_ratio', 'forks_per_star', 'issues_per_star'))} FROM rated",
-        "clean_repositories": double_columns("repos", repo_doubles, REPOSITORIES),
+        "ratio_features": f"WITH {HERD} SELECT repo_id, early_to_total_star_ratio, early_peak_to_average_ratio, forks_per_star, issues_per_star FROM rated",
+        "clean_repositories": all_of("repos", REPOSITORIES),
         "clean_stars": "SELECT * REPLACE (coalesce(username, 'unknown_user') AS username) FROM stars",
         "clean_user_repo_interactions": interactions,
         "clean_daily_timeseries": f"SELECT repo_id, repo_full_name, date, {daily} FROM daily_timeseries",
-        "clean_weekly_timeseries": double_columns("weekly", list(WEEKLY_NUMBERS), WEEKLY),
-        "clean_herd_modeling": double_columns("herd", herd_doubles, HERD),
+        "clean_weekly_timeseries": all_of("weekly", WEEKLY),
+        "clean_herd_modeling": all_of("herd", HERD),
         "derive_daily": f"""WITH days AS (SELECT repo_id, CAST(starred_at AS DATE) AS date, count(*) AS daily_new_stars FROM stars WHERE repo_id IS NOT NULL AND starred_at IS NOT NULL GROUP BY 1, 2)
-            SELECT *, CAST(sum(daily_new_stars) OVER w AS BIGINT) AS cumulative_stars, {sig_sql('(daily_new_stars - lag(daily_new_stars) OVER w) / CAST(lag(daily_new_stars) OVER w AS DOUBLE)')} AS daily_growth_rate FROM days WINDOW w AS (PARTITION BY repo_id ORDER BY date)""",
-        "derive_weekly": f"""WITH {DERIVED} SELECT repo_id, week_start, weekly_new_stars, cumulative_stars, previous_week_stars, {sig_sql('(weekly_new_stars - previous_week_stars) / CAST(previous_week_stars AS DOUBLE)')} AS weekly_growth_rate,
+            SELECT *, CAST(sum(daily_new_stars) OVER w AS BIGINT) AS cumulative_stars, (daily_new_stars - lag(daily_new_stars) OVER w) / CAST(lag(daily_new_stars) OVER w AS DOUBLE) AS daily_growth_rate FROM days WINDOW w AS (PARTITION BY repo_id ORDER BY date)""",
+        "derive_weekly": f"""WITH {DERIVED} SELECT repo_id, week_start, weekly_new_stars, cumulative_stars, previous_week_stars, (weekly_new_stars - previous_week_stars) / CAST(previous_week_stars AS DOUBLE) AS weekly_growth_rate,
             strftime(week_start, '%Y-%m-%d') || '/' || strftime(week_start + 6, '%Y-%m-%d') AS week, CAST(coalesce(previous_week_stars, 0) * cumulative_stars AS DOUBLE) AS herd_momentum_score FROM series""",
-        "early_later": f"WITH {DERIVED} SELECT * REPLACE ({sig_sql('early_avg_weekly_stars')} AS early_avg_weekly_stars, {sig_sql('later_avg_weekly_stars')} AS later_avg_weekly_stars) FROM early",
-        "growth_target": f"WITH {DERIVED} SELECT * REPLACE ({sig_sql('early_avg_weekly_stars')} AS early_avg_weekly_stars, {sig_sql('later_avg_weekly_stars')} AS later_avg_weekly_stars), CAST(later_stars >= (SELECT median(later_stars) FROM early) AS INT) AS became_high_growth FROM early",
+        "early_later": f"WITH {DERIVED} SELECT * FROM early",
+        "growth_target": f"WITH {DERIVED} SELECT *, CAST(later_stars >= (SELECT median(later_stars) FROM early) AS INT) AS became_high_growth FROM early",
         "weekly_features": f"""WITH {WEEKLY}, w AS (SELECT * FROM weekly WHERE repo_id IS NOT NULL AND week_start IS NOT NULL)
             SELECT repo_id, week_start, weekly_new_stars, cumulative_stars, coalesce(lag(weekly_new_stars) OVER o, 0) AS lag_1_week_stars, coalesce(lag(weekly_new_stars, 2) OVER o, 0) AS lag_2_week_stars,
-                {sig_sql('avg(weekly_new_stars) OVER (o ROWS 2 PRECEDING)')} AS rolling_3week_mean_stars, sum(weekly_new_stars) OVER (o ROWS 3 PRECEDING) AS rolling_4week_sum_stars,
+                avg(weekly_new_stars) OVER (o ROWS 2 PRECEDING) AS rolling_3week_mean_stars, sum(weekly_new_stars) OVER (o ROWS 3 PRECEDING) AS rolling_4week_sum_stars,
                 coalesce(weekly_new_stars - lag(weekly_new_stars) OVER o, 0) AS weekly_growth_acceleration, coalesce(lag(cumulative_stars) OVER o, 0) AS cumulative_growth_lag_1 FROM w WINDOW o AS ({weekly_order})""",
         "interaction_counts": f"""WITH {stars_repo_counts} SELECT i.*, coalesce(u.n, 0) AS user_activity_count, coalesce(r.n, 0) AS repo_popularity_count
             FROM user_repo_interactions i LEFT JOIN user_n u ON i.user_id = u.user_id LEFT JOIN repo_n r ON i.repo_id = r.repo_id""",
         "recommendation_features": f"""WITH {stars_repo_counts}, {REPOSITORIES}, inter AS ({interactions}) SELECT i.*, coalesce(u.n, 0) AS user_activity_count, coalesce(r.n, 0) AS repo_popularity_count,
-            coalesce(p.language, 'Unknown') AS language, coalesce(p.topic_count, 0) AS topic_count, {sig_sql('coalesce(p.stars_count, 0)')} AS stars_count, {sig_sql('coalesce(p.forks_count, 0)')} AS forks_count
+            coalesce(p.language, 'Unknown') AS language, coalesce(p.topic_count, 0) AS topic_count, coalesce(p.stars_count, 0) AS stars_count, coalesce(p.forks_count, 0) AS forks_count
             FROM inter i LEFT JOIN user_n u ON i.user_id = u.user_id LEFT JOIN repo_n r ON i.repo_id = r.repo_id LEFT JOIN repos p ON i.repo_id = p.repo_id""",
-        "repository_features": f"WITH {REPOSITORIES} SELECT * REPLACE ({', '.join(f'{sig_sql(c)} AS {c}' for c in repo_doubles)}), {flags_sql('topics')} FROM repos",
-        "herd_features": double_columns("rated", [*herd_doubles, "early_to_total_star_ratio", "early_peak_to_average_ratio", "forks_per_star", "issues_per_star"], HERD),
-        "hot_key_shares": f"SELECT repo_id, count(*) AS n_rows, {sig_sql('count(*) * 100.0::DOUBLE / (SELECT count(*) FROM stars)')} AS share FROM stars WHERE repo_id IS NOT NULL GROUP BY 1",
+        "repository_features": f"WITH {REPOSITORIES} SELECT *, {flags_sql('topics')} FROM repos",
+        "herd_features": all_of("rated", HERD),
+        "hot_key_shares": f"SELECT repo_id, count(*) AS n_rows, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM stars) AS share FROM stars WHERE repo_id IS NOT NULL GROUP BY 1",
         "rare_category_group": f"WITH {HERD} SELECT repo_id, language_grouped, license_grouped FROM grouped",
         "one_hot": f"WITH {HERD} SELECT * FROM ({HOT})",
-        "standard_scale": f"""WITH {HERD} SELECT repo_id, {', '.join(f'{sig_sql(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()")} AS {c}' for c in ('early_4week_stars', 'later_stars'))} FROM herd""",
+        "standard_scale": f"""WITH {HERD} SELECT repo_id, {', '.join(f'{even_sql(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", 6)} AS {c}' for c in ('early_4week_stars', 'later_stars'))} FROM herd""",
         "model_ready": model,
     }
     nulls_of = lambda name: f"""SELECT '{name}' AS "table", CAST(sum(n) AS BIGINT) AS total_missing_values FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM ({texts[f'clean_{name}']})) ON COLUMNS(*) INTO NAME c VALUE n)"""
-    return texts | {"null_totals_cleaned_all": " UNION ALL ".join(map(nulls_of, TABLES))}
+    return texts | {"null_totals_cleaned": " UNION ALL ".join(map(nulls_of, TABLES))}

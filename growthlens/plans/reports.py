@@ -11,7 +11,7 @@ from growthlens.operators.profile import describe_numeric, group_means, null_pro
 from growthlens.sources.readers import run_sql
 from growthlens.sources.sinks import banner, few_rows, fixed_width, shape, write_csv, write_text
 
-#: The report's queries by title. Every ORDER BY ends with unique keys, so that a LIMIT's result is defined.
+#: The report's queries by title (titles here and headings below are fixed values). Every ORDER BY ends with unique keys, so that a LIMIT's result is defined.
 REPORT = {
     "Total Repositories": "SELECT count(*) AS num_repositories FROM repositories",
     "Total Star Interactions": "SELECT count(*) AS num_star_interactions FROM stars",
@@ -75,6 +75,13 @@ def profile_frames(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return frames | {f"{n}_numeric_summary": describe_numeric(df) for n, df in tables.items() if numeric_columns(df)}
 
 
+def distribution_lines(df: DataFrame, column: str) -> list[str]:
+    """Minimum and maximum of a column, mean and median to two digits."""
+    low, high, mean, median = few_rows(scalar_stats(df, column))[0]
+    of = lambda x: "nan" if x is None else f"{x:.2f}"
+    return [f"Minimum {column}: {low}", f"Maximum {column}: {high}", f"Mean {column}: {of(mean)}", f"Median {column}: {of(median)}"]
+
+
 def profile_report(tables: dict[str, DataFrame], folder: str | None = None) -> str:
     """The profiling text; with ``folder`` also written there, with one CSV per profiling table."""
     repositories, stars = tables["repositories"], tables["stars"]
@@ -106,9 +113,7 @@ def profile_report(tables: dict[str, DataFrame], folder: str | None = None) -> s
             lines += section(title, [form.format(*r) for r in few_rows(frames[frame])])
     for column, title in (("stars_count", "Repository Star Count Distribution"), ("forks_count", "Repository Fork Count Distribution")):
         if column in repositories.columns:
-            low, high, mean, median = few_rows(scalar_stats(repositories, column))[0]
-            of = lambda x: "nan" if x is None else f"{x:.2f}"
-            lines += section(title, [f"Minimum {column}: {low}", f"Maximum {column}: {high}", f"Mean {column}: {of(mean)}", f"Median {column}: {of(median)}"])
+            lines += section(title, distribution_lines(repositories, column))
     if "early_later_stars_by_class" in frames:
         lines += section("Average Early and Later Stars by Herd Class", [fixed_width(frames["early_later_stars_by_class"])])
     text = "\n".join(lines)

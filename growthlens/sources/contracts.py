@@ -6,8 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql.types import StructType
 
-LONGS_OF_REPOSITORY = "stars_count forks_count watchers_count subscribers_count network_count open_issues_count size"
-
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -21,35 +19,51 @@ class TableSpec:
         return StructType.fromDDL(self.ddl)
 
 
-def _ddl(*groups: tuple[str, str]) -> str:
-    return ", ".join(f"{c} {kind}" for kind, names in groups for c in names.split())
-
-
 TABLES = {
     t.name: t
     for t in (
         TableSpec(
             "repositories",
             "repositories_enriched.csv",
-            _ddl(
-                ("bigint", "repo_id"), ("string", "full_name owner"), ("bigint", "owner_id"), ("string", "repo_name description language topics"),
-                ("bigint", LONGS_OF_REPOSITORY), ("timestamp", "created_at updated_at pushed_at"), ("string", "default_branch"),
-                ("boolean", "archived disabled is_fork has_issues has_projects has_downloads has_wiki"), ("string", "license html_url homepage"), ("timestamp", "collected_at"),
-            ),
+            "repo_id bigint, full_name string, owner string, owner_id bigint, repo_name string, description string, language string, topics string, "
+            "stars_count bigint, forks_count bigint, watchers_count bigint, subscribers_count bigint, network_count bigint, open_issues_count bigint, size bigint, "
+            "created_at timestamp, updated_at timestamp, pushed_at timestamp, default_branch string, archived boolean, disabled boolean, is_fork boolean, "
+            "has_issues boolean, has_projects boolean, has_downloads boolean, has_wiki boolean, license string, html_url string, homepage string, "
+            "collected_at timestamp",
             ("repo_id",),
         ),
-        TableSpec("stars", "stars_raw.csv", _ddl(("bigint", "repo_id"), ("string", "repo_full_name"), ("bigint", "user_id"), ("string", "username user_type"), ("timestamp", "starred_at collected_at")), ("repo_id", "user_id")),
-        TableSpec("user_repo_interactions", "user_repo_interactions.csv", _ddl(("bigint", "user_id"), ("string", "username"), ("bigint", "repo_id"), ("string", "repo_full_name"), ("timestamp", "starred_at"), ("int", "interaction")), ("user_id", "repo_id")),
-        TableSpec("daily_timeseries", "repo_star_daily_timeseries.csv", _ddl(("bigint", "repo_id"), ("string", "repo_full_name"), ("date", "date"), ("bigint", "daily_new_stars cumulative_stars"), ("double", "daily_growth_rate")), ("repo_id", "date")),
-        TableSpec("weekly_timeseries", "repo_star_weekly_timeseries.csv", _ddl(("bigint", "repo_id"), ("string", "repo_full_name week"), ("bigint", "weekly_new_stars cumulative_stars previous_week_stars"), ("double", "weekly_growth_rate herd_momentum_score")), ("repo_id", "week")),
+        TableSpec(
+            "stars",
+            "stars_raw.csv",
+            "repo_id bigint, repo_full_name string, user_id bigint, username string, user_type string, starred_at timestamp, collected_at timestamp",
+            ("repo_id", "user_id"),
+        ),
+        TableSpec(
+            "user_repo_interactions",
+            "user_repo_interactions.csv",
+            "user_id bigint, username string, repo_id bigint, repo_full_name string, starred_at timestamp, interaction bigint",
+            ("user_id", "repo_id"),
+        ),
+        TableSpec(
+            "daily_timeseries",
+            "repo_star_daily_timeseries.csv",
+            "repo_id bigint, repo_full_name string, date date, daily_new_stars bigint, cumulative_stars bigint, daily_growth_rate double",
+            ("repo_id", "date"),
+        ),
+        TableSpec(
+            "weekly_timeseries",
+            "repo_star_weekly_timeseries.csv",
+            "repo_id bigint, repo_full_name string, week string, weekly_new_stars bigint, cumulative_stars bigint, previous_week_stars bigint, "
+            "weekly_growth_rate double, herd_momentum_score double",
+            ("repo_id", "week"),
+        ),
         TableSpec(
             "herd_modeling",
             "repo_herd_modeling_table.csv",
-            _ddl(
-                ("bigint", "repo_id"), ("string", "repo_full_name"), ("bigint", "early_4week_stars"), ("double", "early_avg_weekly_stars"), ("bigint", "early_max_weekly_stars later_stars"),
-                ("double", "later_avg_weekly_stars"), ("int", "became_high_growth"), ("string", "language topics"), ("bigint", "stars_count forks_count watchers_count open_issues_count"),
-                ("timestamp", "created_at updated_at pushed_at"), ("boolean", "archived is_fork"), ("string", "license html_url"),
-            ),
+            "repo_id bigint, repo_full_name string, early_4week_stars bigint, early_avg_weekly_stars double, early_max_weekly_stars bigint, later_stars bigint, "
+            "later_avg_weekly_stars double, became_high_growth bigint, language string, topics string, stars_count bigint, forks_count bigint, "
+            "watchers_count bigint, open_issues_count bigint, created_at timestamp, updated_at timestamp, pushed_at timestamp, archived boolean, is_fork boolean, "
+            "license string, html_url string",
             ("repo_id",),
         ),
     )

@@ -19,9 +19,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+#: Moments in text, to the microsecond.
+MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with header; ``one_file`` is for results of a known small size."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    """CSV with header; ``one_file`` is for results of a known small size. Empty texts and nulls are the same there."""
+    writer = (df.coalesce(1) if one_file else df).write.mode("overwrite").options(timestampFormat=f"{MOMENT}XXX", timestampNTZFormat=MOMENT)
+    writer.csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def few_rows(df: DataFrame, most: int = 10_000) -> list[tuple]:

@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, duck, name):
 
 @needs_data
 def test_null_totals_of_all_cleaned_tables(spark):
-    totals = {r["table"]: r["total_missing_values"] for r in entry.queries()["null_totals_cleaned_all"](spark, SMALL).collect()}
+    totals = {r["table"]: r["total_missing_values"] for r in entry.queries()["null_totals_cleaned"](spark, SMALL).collect()}
     assert set(totals) == set(TABLES)
     for name, total in totals.items():
         cleaned = entry.queries()[f"clean_{name}"](spark, SMALL).toArrow()
