@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from growthlens.llm.cooccurrence import together
 from growthlens.llm.encode import encode_texts
-from growthlens.llm.mixing import mix_report, mix_sources, plain_source
+from growthlens.llm.mixing import grain, mix_report, mix_sources, plain_source
 from growthlens.llm.splitting import split_oversized
 from growthlens.sources.tables import table
 
@@ -61,14 +61,15 @@ def p9_mix_invariants(spark: SparkSession, folder: str) -> DataFrame:
     drawn = mix.groupBy("source", "doc_id").agg(F.count("*").alias("times"), F.count_distinct("copy").alias("copies"), F.max("n_tokens").alias("n"))
     by_source = drawn.groupBy("source").agg(F.max("times").alias("most"), F.bool_and(F.col("times") == F.col("copies")).alias("distinct_copies"), F.sum(F.col("n") * F.col("times")).alias("tokens_drawn"))
     quota = F.least("wanted_tokens", F.col("tokens") * F.col("max_repeats"))
-    shards = mix.groupBy("shard").agg(F.count("*").alias("n"))
+    shards = mix.agg(F.count_distinct("shard").alias("n")).scalar()
+    _, expected = grain(table(spark, folder, "documents"), 1, None, None)
     return (
-        report.join(docs, "source", "left").join(by_source, "source", "left").crossJoin(F.broadcast(shards.agg(F.count("*").alias("n_shards"))))  # one row
+        report.join(docs, "source", "left").join(by_source, "source", "left")
         .select(
             "source", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"),
             F.coalesce((F.col("most") <= F.col("max_repeats")) & F.col("distinct_copies"), F.lit(True)).alias("within_repeats"),
             ((F.coalesce("tokens_drawn", F.lit(0)) == F.col("drawn_tokens")) & (F.col("drawn_tokens") <= quota) & ((quota - F.col("drawn_tokens") < F.col("smallest_left")) | F.col("smallest_left").isNull())).alias("within_quota"),
-            (F.col("n_shards") == 16).alias("all_shards"),
+            (shards == expected).alias("all_shards"),
         )
     )
 
