@@ -109,9 +109,9 @@ def _select(values: DataFrame, between: dict[tuple[str, float], tuple[float | No
 
     counted = values.select(F.explode(F.array_compact(F.array(*map(one, range(len(keys)))))).alias("e")).groupBy("e.i", "e.v").count()
     up_to = W.partitionBy("i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    need = values.sparkSession.createDataFrame([(i, r) for i, k in enumerate(keys) for r in set(ranks[k])], "i int, rank bigint")
+    need = F.create_map(*(x for i, k in enumerate(keys) for x in (F.lit(i), F.array(*(F.lit(r).cast("bigint") for r in sorted(set(ranks[k])))))))
     ends = counted.withColumn("end", F.sum("count").over(up_to)).where("v is not null")
-    hits = ends.join(F.broadcast(need), "i").where("rank >= end - count and rank < end")  # two rows per column and share
+    hits = ends.select("i", "v", "count", "end", F.explode(F.element_at(need, F.col("i"))).alias("rank")).where("rank >= end - count and rank < end")
     found: dict[tuple[str, float], dict[int, float]] = {}
     for r in hits.select("i", "rank", "v").collect():
         found.setdefault(keys[r["i"]], {})[r["rank"]] = r["v"]
